@@ -78,10 +78,14 @@ def _bounded(side: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, _text, item, start, n): each place where a window of an item occurs. docs: doc_id, _text, words."""
-    prints = with_fingerprints(items).withColumn("_p", F.explode("_prints"))
+    """(doc_id, _text, item, start, n): each place where a window of an item occurs. docs: doc_id, _text, words.
+
+    explode_outer, as explode() has Catalyst push a filter on the array below the projections that make it, which puts
+    one lambda's array into the other lambda, to be made anew for each element.
+    """
+    prints = with_fingerprints(items).withColumn("_p", F.explode_outer("_prints")).filter("_p IS NOT NULL")
     side = prints.select(print_hash(F.col("_p")).alias("_hash"), "item", around(F.col("words"), print_place(F.col("_p"))).alias("_iw"))
-    long = with_fingerprints(docs).select("doc_id", "_text", "words", F.explode("_prints").alias("_p"))
+    long = with_fingerprints(docs).select("doc_id", "_text", "words", F.explode_outer("_prints").alias("_p"))
     met = long.withColumn("_hash", print_hash(F.col("_p"))).join(_bounded(common.materialize(side, "prints")), "_hash")
     first = print_place(F.col("_p")) - (GRAMS - 1)
     same = [
@@ -92,7 +96,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < SPAN).distinct().collect())  # under SPAN rows
     for n in lengths:
         short = items.filter(F.size("words") == n).select(F.xxhash64(F.lit(n), *(F.get("words", F.lit(i)) for i in range(n))).alias("_hash"), "item", F.col("words").alias("_iw"))
-        runs = docs.filter(F.size("words") >= n).select("doc_id", "_text", "words", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: _hash(F.col("words"), i, n))).alias("start", "_hash"))
+        runs = docs.filter(F.size("words") >= n).select("doc_id", "_text", "words", F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: _hash(F.col("words"), i, n))).alias("start", "_hash"))
         met = runs.join(_bounded(short), "_hash").filter(F.slice("words", F.col("start") + 1, F.lit(n)) == F.col("_iw"))
         found = found.unionByName(met.select("doc_id", "_text", "item", "start", F.lit(n).alias("n")))
     return found

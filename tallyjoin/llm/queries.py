@@ -65,9 +65,9 @@ ORACLE_SQL: dict[str, str] = {
             SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
             FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)
         ), hit AS (
-            SELECT r, i, d.n, id FROM doc_window d JOIN item_window USING (n, g)
+            SELECT r, i, n, id FROM doc_window JOIN item_window USING (n, g)
         ), per AS (
-            SELECT r, count(DISTINCT at) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS at FROM hit) GROUP BY r
+            SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM hit) GROUP BY r
         ), ids AS (
             SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id FROM hit) GROUP BY r
         )
