@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyjoin.llm import chat, decontamination, mixing, personal_data, secret_scan, simhash, token_files
+from tallyjoin.llm import chat, decontamination, language_id, mixing, personal_data, secret_scan, simhash, token_files
 from tallyjoin.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
     "op10_token_output": op10_token_output,
