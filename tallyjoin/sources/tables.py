@@ -1,9 +1,55 @@
-"""Parquet tables by name, read as DataFrames."""
+"""Sources: Parquet tables by name, tables in partition files, whitespace-separated text, generated rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def partition_paths(path: str, parts: int) -> list[str]:
+    """Paths of a table in parts files; a table in one file has the bare path."""
+    return [path] if parts == 1 else [f"{path}_p{i}" for i in range(parts)]
+
+
+def scan_table(spark: SparkSession, path: str, parts: int = 1, form: str = "parquet") -> DataFrame:
+    return spark.read.format(form).load(partition_paths(path, parts))
+
+
+def scan_text(spark: SparkSession, path: str, schema: T.StructType, parts: int = 1, strict: bool = False) -> DataFrame:
+    """Rows of whitespace-separated values under a header line in each file; blank lines don't count.
+
+    The schema is given, as names and types in the header are free text; strict raises on lines of another arity, which
+    else get nulls or lose their surplus.
+    """
+    frames = []
+    for p in partition_paths(path, parts):
+        header = spark.read.text(p, wholetext=False).first()
+        lines = spark.read.text(p).filter(F.trim("value") != "")
+        if header is not None:
+            lines = lines.filter(F.col("value") != header[0]) if not _numeric(header[0]) else lines
+        frames.append(lines)
+    lines = frames[0]
+    for f in frames[1:]:
+        lines = lines.unionAll(f)
+    cells = lines.select(F.split(F.trim("value"), r"\s+").alias("c"))
+    if strict:
+        cells = cells.filter(F.when(F.size("c") == len(schema), True).otherwise(F.raise_error(F.concat(F.lit("arity: "), F.array_join("c", " "))).cast("boolean")))
+    return cells.select(*(F.get("c", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)))
+
+
+def _numeric(line: str) -> bool:
+    return all(x.lstrip("-").isdigit() for x in line.split())
+
+
+def generate_data(spark: SparkSession, columns: int, rows: int) -> DataFrame:
+    """Cell (i, j) is i + j; columns c0, c1, ..."""
+    return spark.range(rows).select(*((F.col("id") + j).alias(f"c{j}") for j in range(columns)))
+
+
+def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
+    df.write.format(form).save(path)
