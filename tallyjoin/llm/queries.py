@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyjoin.llm import chat, decontamination, language_id, mixing, nearest, personal_data, secret_scan, simhash, token_files
+from tallyjoin.llm import chat, decontamination, language_id, mixing, nearest, page_text, personal_data, secret_scan, simhash, token_files
 from tallyjoin.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
+    "op7_page_text": op7_page_text,
     "op8_chat_format": op8_chat_format,
     "op9_personal_data": op9_personal_data,
     "op10_token_output": op10_token_output,
