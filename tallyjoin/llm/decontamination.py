@@ -72,32 +72,45 @@ def around(words: Column, place: Column) -> Column:
     return F.array(*(F.when(first + i >= 0, F.get(words, F.greatest(first + i, F.lit(0)))) for i in range(SPAN + GRAMS - 1)))
 
 
-def _bounded(side: DataFrame) -> DataFrame:
-    """side with a broadcast hint if its counted rows are few."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def _runs(n: int) -> Column:
+    """Hashes of all runs of n words; null for fewer words."""
+    return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: _hash(F.col("words"), i, n)))
+
+
+def _small(side: DataFrame) -> bool:
+    return side.count() <= BROADCAST_ROWS
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, _text, item, start, n): each place where a window of an item occurs. docs: doc_id, _text, words.
 
     explode_outer, as explode() has Catalyst push a filter on the array below the projections that make it, which puts
-    one lambda's array into the other lambda, to be made anew for each element.
+    one lambda's array into the other lambda, to be made anew for each element. Rows that match, or that are shuffled to
+    be matched, carry the words around a fingerprint, never the text's.
     """
     prints = with_fingerprints(items).withColumn("_p", F.explode_outer("_prints")).filter("_p IS NOT NULL")
-    side = prints.select(print_hash(F.col("_p")).alias("_hash"), "item", around(F.col("words"), print_place(F.col("_p"))).alias("_iw"))
-    long = with_fingerprints(docs).select("doc_id", "_text", "words", F.explode_outer("_prints").alias("_p"))
-    met = long.withColumn("_hash", print_hash(F.col("_p"))).join(_bounded(common.materialize(side, "prints")), "_hash")
-    first = print_place(F.col("_p")) - (GRAMS - 1)
+    side = common.materialize(prints.select(print_hash(F.col("_p")).alias("_hash"), "item", around(F.col("words"), print_place(F.col("_p"))).alias("_iw")).distinct(), "prints")
+    long = with_fingerprints(docs).select("doc_id", "_text", "words", F.explode_outer("_prints").alias("_p")).withColumn("_hash", print_hash(F.col("_p")))
+    place, here = print_place(F.col("_p")), around(F.col("words"), print_place(F.col("_p"))).alias("_dw")
+    keep = ("doc_id", "_text", (place - (GRAMS - 1)).alias("_first"), here)
+    if _small(side):
+        met = long.join(F.broadcast(side), "_hash").select(*keep, "item", "_iw")
+    else:
+        met = long.select("_hash", *keep).join(side, "_hash")
     same = [
-        F.when((first + i >= 0) & (first + i + SPAN <= F.size("words")) & (F.slice("words", F.greatest(first + i + 1, F.lit(1)), F.lit(SPAN)) == F.slice("_iw", i + 1, SPAN)), first + i)
+        F.when(F.get("_dw", F.lit(i)).isNotNull() & F.get("_dw", F.lit(i + SPAN - 1)).isNotNull() & (F.slice("_dw", i + 1, SPAN) == F.slice("_iw", i + 1, SPAN)), F.col("_first") + i)
         for i in range(GRAMS)
     ]
-    found = met.select("doc_id", "_text", "item", F.explode(F.array_compact(F.array(*same))).alias("start"), F.lit(SPAN).alias("n"))
+    found = met.select("doc_id", "_text", "item", F.explode(F.array(*same)).alias("start"), F.lit(SPAN).alias("n")).filter("start IS NOT NULL")
     lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < SPAN).distinct().collect())  # under SPAN rows
     for n in lengths:
         short = items.filter(F.size("words") == n).select(F.xxhash64(F.lit(n), *(F.get("words", F.lit(i)) for i in range(n))).alias("_hash"), "item", F.col("words").alias("_iw"))
-        runs = docs.filter(F.size("words") >= n).select("doc_id", "_text", "words", F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: _hash(F.col("words"), i, n))).alias("start", "_hash"))
-        met = runs.join(_bounded(short), "_hash").filter(F.slice("words", F.col("start") + 1, F.lit(n)) == F.col("_iw"))
+        runs = docs.select("doc_id", "_text", "words", F.posexplode_outer(_runs(n)).alias("start", "_hash"))
+        run = F.slice("words", F.col("start") + 1, F.lit(n))
+        if _small(short):
+            met = runs.join(F.broadcast(short), "_hash").filter(run == F.col("_iw"))
+        else:
+            met = runs.select("doc_id", "_text", "start", "_hash", run.alias("_dw")).join(short, "_hash").filter("_dw = _iw")
         found = found.unionByName(met.select("doc_id", "_text", "item", "start", F.lit(n).alias("n")))
     return found
 
