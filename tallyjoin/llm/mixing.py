@@ -135,15 +135,15 @@ def sample(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
     n_chars, if there, follows the text. Documents of which nothing is taken go.
     """
-    mixed = mix(docs, seed=seed, **options).filter("size(parts) > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "parts")
+    mixed = mix(docs, seed=seed, **options).filter("size(parts) > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("parts").alias("_parts"))
     # Rows equal in id, source and size get their parts in any order; numbering them keeps the match one to one.
-    same = W.partitionBy("_id", "_src", "_size").orderBy("parts")
+    same = W.partitionBy("_id", "_src", "_size").orderBy("_parts")
     mixed = mixed.withColumn("_no", F.row_number().over(same))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     mine = docs.withColumn("_dsize", size)
     mine = mine.withColumn("_dno", F.row_number().over(W.partitionBy("doc_id", "source", "_dsize").orderBy("text")))
     met = mine.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_dsize") == F.col("_size")) & (F.col("_dno") == F.col("_no")))
-    met = met.withColumn("_part", F.explode("parts"))
+    met = met.withColumn("_part", F.explode("_parts"))
     whole = (F.col("_part.from") == 0) & (F.col("_part.to") == F.col("_size"))
     words = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), CAST(_part.from AS INT) + 1, CAST(_part.to - _part.from AS INT)), '')")
     met = met.withColumn("text", F.when(whole, F.col("text")).otherwise(words))
