@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
 
-# What words are, once A-Z are lower case; and the window.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# What words are, once A-Z are lower case, and before; and the window. Words are all but
+# [\x00-\x2F\x3A-\x60\x7B-\x7F]; naming what is in a class is much faster than naming what isn't.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+ANY_CASE_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 SPAN = 8
 #: Words in a hashed gram; windows of SPAN - GRAM + 1 grams then lie within SPAN words.
 GRAM = 4
@@ -39,7 +40,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+    """lower() changes more than A-Z, so it serves only where a text is all ASCII."""
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+    return F.regexp_extract_all(F.coalesce(lower, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def _hash(words: Column, at: Column, n: int) -> Column:
