@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyjoin.functions import bounds
-from tallyjoin.operators import aggregates, columns, expand, joins, padding, partitioning, scan
+from tallyjoin.operators import aggregates, columns, expand, joins, packing, padding, partitioning, scan
 from tallyjoin.sources import tables
 from tallyjoin.sources.tables import table
 
@@ -393,3 +393,14 @@ def pad_to_size(spark, d):
 def padding_bounds(spark, d):
     n = table(spark, d, "orders").agg(F.count("*").alias("n"))
     return n.select("n", F.explode(F.array(F.lit(4), F.lit(16), F.lit(64))).alias("p")).withColumn("bound", bounds.size_bound_column(F.col("n"), F.col("p")))
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY c_nationkey) AS r FROM customer GROUP BY c_nationkey),
+    b AS (SELECT c_nationkey, n, r, CAST(0 AS BIGINT) AS bin, n AS held FROM d WHERE r = 1
+    UNION ALL SELECT d.c_nationkey, d.n, d.r, CAST(CASE WHEN held + d.n > 150 THEN bin + 1 ELSE bin END AS BIGINT), CASE WHEN held + d.n > 150 THEN d.n ELSE held + d.n END FROM b JOIN d ON d.r = b.r + 1)
+    SELECT c_nationkey, n, bin FROM b"""
+)
+def greedy_bins(spark, d):
+    degrees = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return packing.greedy_bins(degrees, ["c_nationkey"], "n", 150)
