@@ -16,8 +16,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -34,10 +35,24 @@ from tallyjoin.llm import common
 #: Tokens in a sequence, and sequences in an Arrow batch of the files.
 SEQUENCE = 2048
 BATCH_SEQUENCES = 256
-#: Units whose ids a worker remembers, units that go to the library at once, and characters of text handled at once.
-CACHE_UNITS = 600_000
+#: Units and words whose ids a worker remembers, units that go to the library at once, and bytes of text handled at once.
+CACHE_UNITS = 200_000
+CACHE_WORDS = 200_000
 UNITS_AT_ONCE = 400
-TEXT_AT_ONCE = 8 << 20
+TEXT_AT_ONCE = 4 << 20
+
+#: A Latin word and ASCII marks after it: two pieces for a byte-level tokenizer.
+WORD_AND_MARKS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: its own if printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 MANIFEST = "part int, tokens string, docs string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -61,7 +76,13 @@ class Encoder:
         self.tok.encode_special_tokens = special_as_text
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.units: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tok.model
+        plain = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None and type(self.model).__name__ == "BPE"
+        self.by_word = plain and all(self._word(w) == self.whole([f" {w}"])[0] for w in ("the", "strengthlessness", "Gärtnerin", "déjà"))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,16 +91,35 @@ class Encoder:
         return bool(unit) and not unit[0].isspace() and not unit[-1].isspace() and not any(s in unit for s in self.special)
 
     def _encode_units(self, new: list[str]) -> dict[str, bytes | None]:
-        """None where a unit doesn't stand alone: it is empty, has white space at an end, or holds a special token."""
+        """None where a unit doesn't stand alone: it is empty, has white space at an end, or holds a special token.
+
+        Most units are a word and perhaps marks after it, which the tokenizer takes apart into just these; the model
+        then turns the word into ids without the rest of the library's work.
+        """
         out: dict[str, bytes | None] = {}
+        words, tails, rest = self.words, self.tails, []
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        match = WORD_AND_MARKS.fullmatch if self.by_word else lambda u: None
+        for u in new:
+            m = match(u)
+            if m is None:
+                rest.append(u)
+                continue
+            word, tail = m.groups()
+            ids = words.get(word)
+            if ids is None:
+                ids = words[word] = self._word(word)
+            if tail:
+                more = tails.get(tail)
+                if more is None:
+                    more = tails[tail] = self.whole([tail])[0]
+                ids += more
+            out[u] = ids
         groups = []
-        for i in range(0, len(new), UNITS_AT_ONCE):
-            some = new[i : i + UNITS_AT_ONCE]
-            line = " ".join(some)
-            if re.search(r"\s\s", f" {line} ") or any(s in line for s in self.special):
-                good = [u for u in some if self._stands_alone(u)]
-                out.update(dict.fromkeys(set(some).difference(good)))
-                some = good
+        for i in range(0, len(rest), UNITS_AT_ONCE):
+            some = [u for u in rest[i : i + UNITS_AT_ONCE] if self._stands_alone(u)]
+            out.update(dict.fromkeys(set(rest[i : i + UNITS_AT_ONCE]).difference(some)))
             groups.append(some)
         for some, e in zip(groups, self.tok.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             if some:
@@ -90,6 +130,10 @@ class Encoder:
                 out.update(zip(some, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
         return out
 
+    def _word(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(BYTE_LETTERS[32] + spelt)]).tobytes()
+
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """The memory keeps the first units seen, the frequent ones among them; others last for one call."""
         texts = pc.fill_null(texts, "")
@@ -98,17 +142,20 @@ class Encoder:
         parts = pc.split_pattern(texts, " ")
         of_doc = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         head_at = of_doc[:-1] - of_doc[0]
         of_doc = of_doc - of_doc[0]
         is_unit = np.ones(len(index), bool)
         is_unit[head_at] = False
         used = np.zeros(len(words), bool)
         used[index[is_unit]] = True
-        ids = [self.units.get(w, 0) for w in words]
-        new = [w for w, known, use in zip(words, ids, used.tolist(), strict=True) if use and known == 0]
-        learnt = self._encode_units(new)
-        ids = [learnt.get(w) if known == 0 else known for w, known in zip(words, ids, strict=True)]
+        ids = list(map(self.units.get, words, repeat(0)))
+        new = [i for i, (known, use) in enumerate(zip(ids, used.tolist(), strict=True)) if known == 0 and use]
+        learnt = self._encode_units([words[i] for i in new])
+        for i in new:
+            ids[i] = learnt[words[i]]
+        for i in np.flatnonzero(~used).tolist():  # words that only begin texts
+            ids[i] = None
         heads = sorted(set(index[head_at].tolist()))
         good = [h for h in heads if not words[h] or self._stands_alone(words[h])]
         place = np.full(len(words), len(words), np.int64)  # the entry after the words is for heads that don't stand alone
