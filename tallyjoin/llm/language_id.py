@@ -6,7 +6,8 @@ being one space, hashed to FEATURES slots. Nystroem: the kernel against LANDMARK
 ridge regression on them. As the kernel is a scalar product of presence vectors, landmarks and coefficients multiply out
 to one matrix (slots x languages), and a batch of texts is scored by products with it.
 
-The model is fitted on at most PER_LANGUAGE texts a language, the first in hash order of doc_id; all texts are read whole.
+The model is fitted on at most PER_LANGUAGE texts a language and TRAIN_ROWS in all, the first in hash order of doc_id, each
+language's first before any's second; all texts are read whole.
 
 Defined results: a text that is null or has no letter is "und" with score 0; without any learnable row all are "und";
 doc_id null is never learnt from and not held out; repeated rows are rows of their own; ties go to the language first by
@@ -29,6 +30,7 @@ from tallyjoin.llm import common
 MAX_GRAM = 4
 FEATURES = 1 << 15
 PER_LANGUAGE = 250
+TRAIN_ROWS = 2000
 LANDMARKS = 256
 RIDGE = 0.1
 SHARPNESS = 4.0
@@ -80,9 +82,13 @@ class Model:
 def fit(x: np.ndarray, labels: list[str]) -> Model:
     """x: presence vectors as rows. Landmarks are spread evenly over the rows, which are in language order."""
     languages = sorted(set(labels))
-    x = x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = x[np.unique(np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int))]
-    k, kk = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        return rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(1, dtype=np.float32, keepdims=True), 1))
+
+    marks = unit(x[np.unique(np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int))])
+    k = np.concatenate([unit(x[i : i + 128]) @ marks.T for i in range(0, len(x), 128)]).astype(np.float64)
+    kk = (marks @ marks.T).astype(np.float64)
     y = np.array([[1.0 if a == b else -1.0 for b in languages] for a in labels])
     alpha = np.linalg.solve(k.T @ k + RIDGE * kk + 1e-6 * np.eye(len(marks)), k.T @ y)
     return Model(languages, (marks.T.astype(np.float64) @ alpha).astype(np.float32))
@@ -97,8 +103,9 @@ def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     ids = docs.select("doc_id", "lang", held_out().alias("_out")).filter("NOT _out AND lang IS NOT NULL AND doc_id IS NOT NULL")
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PER_LANGUAGE).select("doc_id").distinct().collect()  # at most PER_LANGUAGE a language
-    keys = spark.createDataFrame([(r.doc_id,) for r in chosen], "_id long")
+    ranked = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PER_LANGUAGE)
+    chosen = ranked.orderBy("_n", F.xxhash64("doc_id"), "doc_id", "lang").limit(TRAIN_ROWS).collect()
+    keys = spark.createDataFrame([(i,) for i in sorted({r.doc_id for r in chosen})], "_id long")
     out = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("bits", pa.binary())])
 
     def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,11 +122,11 @@ def train(docs: DataFrame) -> Model:
     kept = []
     for r in rows:  # repeated ids can't make a language larger
         per[r[0]] = per.get(r[0], 0) + 1
-        if per[r[0]] <= PER_LANGUAGE:
+        if per[r[0]] <= PER_LANGUAGE and len(kept) < TRAIN_ROWS:
             kept.append(r)
     if not kept:
         return Model([], np.zeros((FEATURES, 0), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in kept), np.uint8).reshape(len(kept), -1), axis=1).astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in kept), np.uint8).reshape(len(kept), -1), axis=1)
     return fit(x, [r[0] for r in kept])
 
 
