@@ -5,7 +5,7 @@ differing bits are found through m bit partitions with thresholds t_i whose sums
 fingerprints differ by at most t_i bits in some partition i.
 
 * Bits that go together (co-occurrence counts over all fingerprints) share a partition.
-* For m in PARTITIONS, candidates at t = 0 are counted over all fingerprints, those at larger t are estimated from them
+* For several m around distance + 1, candidates at t = 0 are counted over all fingerprints, those at larger t are estimated from them
   and from the bits' chances to differ, and dynamic programming takes the cheapest thresholds; -1 skips a partition.
 * Probing: a fingerprint enters the bucket of each key mask (a partition without t of its bits). A bucket with more
   than BUCKET fingerprints is split again by three parts of its free bits, and so on; as fingerprints are distinct, no
@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
@@ -35,8 +35,7 @@ from tallyjoin.llm.components import components
 SHINGLE = 3
 SEED = 42
 BITS = 64
-#: Numbers of partitions that are tried, and what a key row costs against a candidate.
-PARTITIONS = (2, 3, 4)
+#: What a key row costs against a candidate.
 ROW_COST = 20.0
 #: Most fingerprints that are compared all with all.
 BUCKET = 512
@@ -146,7 +145,7 @@ def key_masks(nodes: DataFrame, distance: int) -> list[int]:
     counts = bit_counts(nodes)
     p = counts.diagonal() / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-6, 1)
-    groups = {m: grouped_bits(counts, n, m) for m in PARTITIONS}
+    groups = {m: grouped_bits(counts, n, m) for m in range(max(2, distance), distance + 3)}
     masks = sorted({mask_of(g) for gs in groups.values() for g in gs})
     keyed = nodes.select(F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for i, x in enumerate(masks)))).alias("x"))
     pairs = keyed.groupBy("x.k", "x.key").count().filter("count > 1").groupBy("k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("c")).collect()
@@ -212,9 +211,11 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
             break
         cold = rows.join(hot, ["mask", "key"], "left_anti").select("fp", "mask", "key")
         done = cold if done is None else done.unionByName(cold)
-        parts: Column = F.create_map(*(x for m in splittable for x in (F.lit(signed(m)), F.array(*(F.lit(signed(f)) for f in finer(m, distance))))))
-        rows = common.materialize(rows.join(hot, ["mask", "key"]).select("fp", F.explode(F.element_at(parts, F.col("mask"))).alias("mask")).distinct(), "finer")
-        masks = sorted({f for m in splittable for f in finer(m, distance)})
+        crowded = [r.mask & ALL for r in hot.select("mask").distinct().collect()]  # at most distance + 1 to the number of rounds
+        masks = sorted({f for m in crowded for f in finer(m, distance)})
+        parts = F.broadcast(nodes.sparkSession.createDataFrame([(signed(m), signed(f)) for m in crowded for f in finer(m, distance)], "mask long, part long"))
+        rows = rows.join(hot, ["mask", "key"]).select("fp", "mask").join(parts, "mask").select("fp", F.col("part").alias("mask")).distinct()
+        rows = common.materialize(rows, "finer")
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

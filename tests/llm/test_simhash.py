@@ -49,8 +49,8 @@ def near(rnd, n, chain):
     return out
 
 
-@pytest.mark.parametrize("bucket", [512, 4])
-def test_links_give_all_components(spark, monkeypatch, bucket):
+@pytest.mark.parametrize(("bucket", "distance"), [(512, 2), (8, 2), (64, 4)])
+def test_links_give_all_components(spark, monkeypatch, bucket, distance):
     """Also with a ball of neighbours that no bucket could hold."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     rnd = random.Random(bucket)
@@ -60,9 +60,9 @@ def test_links_give_all_components(spark, monkeypatch, bucket):
     nodes = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
     from tallyjoin.llm.components import components
 
-    roots = {r.node: r.root for r in components(simhash.links(nodes, 2)).collect()}
+    roots = {r.node: r.root for r in components(simhash.links(nodes, distance)).collect()}
     got = [roots.get(simhash.signed(f), simhash.signed(f)) for f in fps]
-    want = brute(list(range(len(fps))), fps, 2)
+    want = brute(list(range(len(fps))), fps, distance)
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
