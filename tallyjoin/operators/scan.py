@@ -23,6 +23,29 @@ def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], how: str, c
     return df.withColumn(name, HOW[how](value).over(frame))
 
 
+def by_key_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], how: str, column: str, name: str, reverse: bool = False) -> DataFrame:
+    """by_key() for keys of any size: a key's rows may fill many tasks. The order must be unique within a key.
+
+    Rows are dealt by ranges of (keys, order); each part runs over its share of a key, and adds what the parts before
+    hold of it. Only the first key of a part can go on from another, so there are at most as many carries as parts. As in
+    prefix_sum_global(), the parts are kept, as both phases must see the same ones.
+    """
+    along = [F.col(o).desc() if reverse else F.col(o).asc() for o in order]
+    value = F.col(column)
+    if how in ("sum", "product"):
+        value = value.cast("double" if how == "product" else "bigint") if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint") else value
+    dealt = df.repartitionByRange(*keys, *along).withColumn("_part", F.spark_partition_id()).persist()
+    local = HOW[how](value).over(W.partitionBy("_part", *keys).orderBy(*along).rowsBetween(W.unboundedPreceding, 0))
+    again = HOW["sum" if how == "count" else how]
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each part with the key
+    carries = dealt.groupBy("_part", *keys).agg(HOW[how](value).alias("_total")).withColumn("_carry", again("_total").over(before)).filter("_carry IS NOT NULL")
+    carries = carries.select(F.col("_part").alias("_cpart"), *(F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)), "_carry")
+    same = [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)]
+    met = dealt.withColumn("_local", local).join(F.broadcast(carries), [F.col("_part") == F.col("_cpart"), *same], "left")
+    both = {"sum": F.col("_local") + F.col("_carry"), "count": F.col("_local") + F.col("_carry"), "product": F.col("_local") * F.col("_carry"), "min": F.least("_local", "_carry"), "max": F.greatest("_local", "_carry")}[how]
+    return met.select(*df.columns, F.when(F.col("_local").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_local")).otherwise(both).alias(name))
+
+
 def row_number_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 

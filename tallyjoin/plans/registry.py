@@ -253,10 +253,10 @@ def group_count_broadcast(spark, d):
 # Prefixes
 
 
-def _prefix(name: str, how: str, sql: str, reverse: bool = False) -> None:
+def _prefix(name: str, how: str, sql: str, reverse: bool = False, split: bool = False) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         o = orders(spark, d).select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 5 + 1).alias("x"))
-        return scan.by_key(o, ["o_custkey"], ["o_orderkey"], how, "x", "y", reverse)
+        return (scan.by_key_split if split else scan.by_key)(o, ["o_custkey"], ["o_orderkey"], how, "x", "y", reverse)
 
     run.__name__ = name
     query(f"SELECT o_custkey, o_orderkey, o_orderkey % 5 + 1 AS x, {sql} OVER (PARTITION BY o_custkey ORDER BY o_orderkey{' DESC' * reverse} ROWS UNBOUNDED PRECEDING){'::BIGINT' * (how == 'sum')} AS y FROM orders")(run)
@@ -267,6 +267,8 @@ _prefix("prefix_min_by_key", "min", "min(o_orderkey % 5 + 1)")
 _prefix("prefix_max_by_key", "max", "max(o_orderkey % 5 + 1)")
 _prefix("prefix_product_by_key", "product", "product(o_orderkey % 5 + 1)")
 _prefix("suffix_max_by_key", "max", "max(o_orderkey % 5 + 1)", reverse=True)
+_prefix("prefix_sum_by_key_split", "sum", "sum(o_orderkey % 5 + 1)", split=True)
+_prefix("suffix_max_by_key_split", "max", "max(o_orderkey % 5 + 1)", reverse=True, split=True)
 
 
 @query("SELECT o_orderkey, o_custkey, CAST(sum(o_custkey) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM orders")

@@ -119,6 +119,20 @@ def test_prefix_by_key_and_fills(spark):
     assert read(scan.by_key(big, ["a"], ["b"], "sum", "c", "x"))[-1] == 3 * (2**31 - 1)
 
 
+@pytest.mark.parametrize("how", ["sum", "min", "max", "count", "product"])
+@pytest.mark.parametrize("reverse", [False, True])
+def test_a_key_over_many_parts_has_the_prefix_of_a_window(spark, how, reverse):
+    rnd = random.Random(3)
+    rows = [(None if i % 50 == 7 else rnd.choice([1, 1, 1, 1, 2, 3]), i, rnd.choice([None, -1, 1, 2]), 0) for i in range(400)]
+    df = frame(spark, rows).repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        split = scan.by_key_split(df, ["a"], ["b"], how, "c", "x", reverse)
+        assert multiset(split) == multiset(scan.by_key(df, ["a"], ["b"], how, "c", "x", reverse))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 # Expansion
 
 
