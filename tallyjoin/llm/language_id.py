@@ -45,7 +45,7 @@ def slots(text: str | None) -> np.ndarray:
     """The sorted slots of the n-grams that occur in text; empty if it has no letter."""
     letters = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
     flags = np.zeros(FEATURES, bool)
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # such as superscript digits, which are neither digits nor letters
         return np.empty(0, np.int64)
     code = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     for i in range(0, len(code), PART):
