@@ -266,7 +266,7 @@ def search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     index = common.map_batches(route(points, forest), placed, schema)
     wanted = common.map_batches(queries.select("point", "embedding"), asked, schema)
-    dealt = index.unionByName(wanted).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "kind", "leaf")
+    dealt = index.unionByName(wanted).repartitionById(max(shards, 1), F.col("shard")).sortWithinPartitions("shard", "kind", "leaf")  # a task for each shard
     out = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64())])
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
