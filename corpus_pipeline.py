@@ -3,8 +3,8 @@
 Each stage takes what its predecessor kept, as Parquet, and all but the last return the columns of documents:
 
 1. language: documents whose language can't be told go;
-2. near_duplicates: one document of each SimHash component stays, that of the least doc_id; links go up to
-   NEAR_BITS differing bits, more than the two of the query op1, as copies with a few words changed differ by more;
+2. near_duplicates: one document of each component stays, that of the least doc_id; links are the pairs whose five-word
+   shingles have a Jaccard similarity of 4/5 or more, found by an exact join, as such copies' SimHashes differ by any few bits;
 3. decontaminate: documents that hold a window of any benchmark item go;
 4. mix: documents as often, and in part, as the target weights of their sources ask;
 5. tokens: equal-length token sequences in Arrow files; returns a digest of each document, read back from them.
@@ -17,9 +17,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyjoin.llm import decontamination, language_id, mixing, simhash, token_files
+from tallyjoin.llm import decontamination, language_id, mixing, near_copies, token_files
 from tallyjoin.llm.common import materialize, table
 
+#: The bits at which test_pipeline.py takes its own texts for different; no limit of the stage.
 NEAR_BITS = 4
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.distinct_documents(docs, NEAR_BITS)
+    return near_copies.distinct_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

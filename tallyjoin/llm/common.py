@@ -39,6 +39,14 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize() wrote and nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
     """Shuffle partitions for df: the session's number, or more where the planner's size estimate asks for more."""
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -255,8 +255,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """docs with one document of each component."""
+    return one_of_each(docs, common.materialize(near_duplicates(docs, distance), "components"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one document of each component: the least doc_id, nulls last, then the least text hash."""
-    found = common.materialize(near_duplicates(docs, distance), "components")
     keep = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x"))
     keep = common.materialize(keep.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_idt")).distinct(), "keep")
     chosen = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_idt")), "left_semi")
