@@ -2,7 +2,7 @@
 
 Defined results: null text is empty; every row gives one row, repeated rows each their own, in any number of columns
 (only doc_id and text are read); a text without secrets has zero counts, the digest of the empty string and empty
-spans; positions are code points, ends exclusive, over the whole text.
+spans; a token of letters alone is never an entropy span, as nothing tells it from words; positions are code points, ends exclusive, over the whole text.
 """
 
 from __future__ import annotations
@@ -29,15 +29,18 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}")
 #: Character classes: name, its runs, window, least bits a character, and what a window must have.
 CLASSES = (
     ("hex", re.compile(r"[0-9A-Fa-f]{20,}"), 20, 3.2, (str.isdigit, str.isalpha)),
+    ("lower case and digits", re.compile(r"[a-z0-9]{20,}"), 20, 3.6, (str.isdigit, str.islower)),
+    ("base32", re.compile(r"[A-Z0-9]{20,}"), 20, 3.5, (str.isdigit, str.isupper)),
     ("base64", re.compile(r"[A-Za-z0-9+/=_-]{20,}"), 20, 3.7, (str.isdigit, str.islower, str.isupper)),
 )
-#: What is long and mixed but no secret: UUIDs, runs of words, paths and file names, repeated filler, dates.
+#: What is long and mixed but no secret: UUIDs, runs of words, paths and file names, words with numbers, repeated filler, dates.
 ALLOW = tuple(
     re.compile(p)
     for p in (
         r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
         r"([A-Z]?[a-z]+|[A-Z]+|[0-9]+)([_/+=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*",
         r"([A-Z][a-z]+|[a-z]+){1,6}[0-9]{0,4}",
+        r"(?![0-9A-Fa-f]+\Z)(([a-z]{5,}[0-9]{1,4})+([a-z]{5,})?|([A-Z]{5,}[0-9]{1,4})+([A-Z]{5,})?)",
         r"(.{1,4})\1{4,}.{0,3}",
         r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]{0,6}Z?",
     )

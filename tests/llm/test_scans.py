@@ -98,3 +98,13 @@ def test_tables(spark):
 def test_redaction():
     text = "to a@b.org or 10.0.0.1"
     assert pd.redact(text, pd.base_spans(text)) == "to [EMAIL] or [IP]"
+
+
+def test_entropy_finds_keys_of_one_case_with_digits():
+    rnd = random.Random(2)
+    for chars in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        keys = ["".join(rnd.choice(chars) for _ in range(40)) for _ in range(200)]
+        assert sum(any(k == 3 for _, k, _ in ss.scan(f"use {k} here")) for k in keys) >= 195
+    assert [k for _, k, _ in ss.scan("key-3ax6xnjp29jd6fds4gc373sgvjxteol0")] == [3]
+    clean = ["chapter12section34paragraph56", "CHAPTER12SECTION34PARAGRAPH56", "internationalization18", "x86-64-unknown-linux-gnu-2026", "ab12ab12ab12ab12ab12ab12"]
+    assert all(not ss.scan(f"see {c} now") for c in clean if not ss.HEX.search(c))
