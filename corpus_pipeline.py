@@ -5,7 +5,7 @@ Each stage takes what its predecessor kept, as Parquet, and all but the last ret
 1. language: documents whose language can't be told go;
 2. near_duplicates: one document of each component stays, that of the least doc_id; links are the pairs whose five-word
    shingles have a Jaccard similarity of 4/5 or more, found by an exact join, as such copies' SimHashes differ by any few bits;
-3. decontaminate: documents that hold a window of any benchmark item go;
+3. decontaminate: documents that hold eight words in a row of any benchmark item go, or the whole of two shorter items;
 4. mix: documents as often, and in part, as the target weights of their sources ask;
 5. tokens: equal-length token sequences in Arrow files; returns a digest of each document, read back from them.
 
@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A single item's passage is enough to go: a leak is mostly one item in one document."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), least_items=1)
+    """A single item's window of eight words is enough to go: a leak is mostly one item in one document. An item of fewer words
+    may be an everyday phrase, so where only such ones are hit it takes two, as in op4."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), whole_suffices=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,22 +119,25 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items (ids as sorted strings), contaminated."""
+    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, items (ids as sorted strings), contaminated, whole.
+
+    whole: whether a window of SPAN words is hit, not short items alone.
+    """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     named = common.materialize(items.groupBy("words").agg(F.collect_set("id").alias("ids")).withColumn("item", F.xxhash64("words")), "items")
     read = docs.select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("words"))
     found = hits(read, named.select("item", "words"))
-    per = found.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("start", "n")).alias("_runs"), F.collect_set("item").alias("_items"))
+    per = found.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("start", "n")).alias("_runs"), F.collect_set("item").alias("_items"), F.max(F.col("n") == SPAN).alias("whole"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["start"] + r["n"] - 1)))))
-    per = common.materialize(per.select("doc_id", "_text", covered.cast("long").alias("n_hit"), "_items"), "hits")
+    per = common.materialize(per.select("doc_id", "_text", covered.cast("long").alias("n_hit"), "_items", "whole"), "hits")
     ids = per.select("doc_id", "_text", F.explode("_items").alias("item")).join(named.select("item", F.explode("ids").alias("id")), "item")
     ids = ids.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("id")).alias("items"))
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_idt"), "items")
-    hit = per.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_idt"))).select("_id", "_idt", "n_hit", "items")
+    hit = per.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_idt"))).select("_id", "_idt", "n_hit", "items", "whole")
     every = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = every.join(common.materialize(hit, "hit"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_idt")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
-    out = out.select("doc_id", "_text", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"))
+    out = out.select("doc_id", "_text", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items_).cast("long").alias("n_items"), items_.alias("items"), F.coalesce("whole", F.lit(False)).alias("whole"))
     return out.withColumn("contaminated", F.col("n_items") >= least_items)
 
 
@@ -142,7 +145,8 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """docs without the contaminated ones, in their own columns."""
-    bad = contamination(docs, benchmark, least_items).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_idt")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, whole_suffices: bool = False) -> DataFrame:
+    """docs without the contaminated ones, in their own columns. whole_suffices: nor any that a window of SPAN words is hit in."""
+    found = contamination(docs, benchmark, least_items)
+    bad = found.filter(F.col("contaminated") | F.col("whole") if whole_suffices else F.col("contaminated")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_idt")).distinct()
     return docs.join(common.materialize(bad, "bad"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_idt")), "left_anti")

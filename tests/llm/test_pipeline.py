@@ -87,3 +87,11 @@ def test_an_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_single_short_item_removes_nothing(spark, tmp_path):
+    long = " ".join(f"l{i}" for i in range(12))
+    spark.createDataFrame([(1, "good morning"), (2, "see you"), (3, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["a good morning to all", "good morning and see you soon", f"x {' '.join(long.split()[2:10])} y", " ".join(long.split()[:7]), "none"]
+    docs = spark.createDataFrame([(i, t, "xa", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()) == [0, 3, 4]
