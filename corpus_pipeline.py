@@ -2,9 +2,9 @@
 
 Each stage takes what its predecessor kept, as Parquet, and all but the last return the columns of documents:
 
-1. language: documents whose language can't be told go;
-2. near_duplicates: one document of each component stays, that of the least doc_id; links are the pairs whose five-word
-   shingles have a Jaccard similarity of 4/5 or more, found by an exact join, as such copies' SimHashes differ by any few bits;
+1. language: documents whose language the model can't tell, or isn't sure of, go;
+2. near_duplicates: one document of each component stays, that of the least doc_id; SimHash finds the candidates, and links are
+   those whose five-word shingles have a Jaccard similarity of 4/5 or more;
 3. decontaminate: documents that hold eight words in a row of any benchmark item go, or the whole of two shorter items;
 4. mix: documents as often, and in part, as the target weights of their sources ask;
 5. tokens: equal-length token sequences in Arrow files; returns a digest of each document, read back from them.
@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyjoin.llm import decontamination, language_id, mixing, near_copies, token_files
 from tallyjoin.llm.common import materialize, table
 
-#: The bits at which test_pipeline.py takes its own texts for different; no limit of the stage.
-NEAR_BITS = 4
 TOKENIZER = "byte_bpe_50k.json"
 
 

@@ -1,13 +1,18 @@
-"""What the corpus operators share: reading tables, cutting lineage, sizing shuffles, running Arrow batches."""
+"""What the corpus operators share: reading tables, row hashes, sizing shuffles, running Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyjoin.names import col, free
+from tallyjoin.storage import materialize, new_path, remove, shared_dir
+
+__all__ = ["materialize", "new_path", "remove", "shared_dir"]
 
 #: Input bytes that one shuffle partition should hold.
 PARTITION_BYTES = 64 << 20
@@ -19,32 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) is one made."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tallyjoin-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: computed once, short lineage, whole after a lost executor."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table that materialize() wrote and nothing reads any more."""
-    context = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; those that can't be hashed count as JSON."""
+    plain = lambda kind: not isinstance(kind, (T.MapType, T.VariantType)) and (not isinstance(kind, T.ArrayType) or plain(kind.elementType)) and (not isinstance(kind, T.StructType) or all(plain(f.dataType) for f in kind))
+    return F.xxhash64(*(col(f.name) if plain(f.dataType) else F.to_json(F.struct(col(f.name))) for f in df.schema))
 
 
 def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
@@ -53,15 +36,22 @@ def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(estimate // bytes_each, 1 << 20))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One Arrow batch in, one out; batches are kept small because single texts can be very long."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """One Arrow batch in, one out; batches are kept small because single texts can be very long.
+
+    Names with dots or backticks, which mapInArrow() can't take, are others while it runs; schema must then be a StructType.
+    """
     bound_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    other = {c: free(f"_column{i}", df) for i, c in enumerate(df.columns) if "." in c or "`" in c}
+    if not other:
+        return df.mapInArrow(run, schema)
+    named = T.StructType([T.StructField(other.get(f.name, f.name), f.dataType) for f in schema])
+    return df.toDF(*(other.get(c, c) for c in df.columns)).mapInArrow(run, named).toDF(*schema.names)
 
 
 def bound_batches(spark: SparkSession) -> None:

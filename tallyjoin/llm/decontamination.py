@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
+from tallyjoin.names import col, free
 
 # What words are, once A-Z are lower case, and before; and the window. Words are all but
 # [\x00-\x2F\x3A-\x60\x7B-\x7F]; naming what is in a class is much faster than naming what isn't.
@@ -30,7 +31,7 @@ SPAN = 8
 #: Words in a hashed gram; windows of SPAN - GRAM + 1 grams then lie within SPAN words.
 GRAM = 4
 GRAMS = SPAN - GRAM + 1
-#: Bits of a fingerprint that hold its place; the others hold the hash. A longer text can't be a Spark string.
+#: Bits of a fingerprint that hold its place; the others hold the hash. A text of more words (268 million) raises.
 PLACE_BITS = 28
 PLACES = (1 << PLACE_BITS) - 1
 #: Most fingerprints of the benchmark that are broadcast, about 300 bytes each.
@@ -55,7 +56,7 @@ def with_fingerprints(df: DataFrame) -> DataFrame:
     Less comes last among equals, so array_min takes the last of equal hashes.
     """
     words, n = F.col("words"), F.size("words")
-    grams = F.when(n >= SPAN, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.shiftleft(_hash(words, i, GRAM), PLACE_BITS).bitwiseOR(F.lit(PLACES) - i)))
+    grams = F.when(n > PLACES, F.raise_error(F.lit("a text has more words than there are places"))).when(n >= SPAN, F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: F.shiftleft(_hash(words, i, GRAM), PLACE_BITS).bitwiseOR(F.lit(PLACES) - i)))
     df = df.withColumn("_grams", grams)
     least = F.transform(F.sequence(F.lit(0), F.size("_grams") - GRAMS), lambda i: F.least(*(F.get("_grams", i + j) for j in range(GRAMS))))
     return df.withColumn("_prints", F.when(F.size("_grams") >= GRAMS, F.array_distinct(least))).drop("_grams")
@@ -75,9 +76,11 @@ def around(words: Column, place: Column) -> Column:
     return F.array(*(F.when(first + i >= 0, F.get(words, F.greatest(first + i, F.lit(0)))) for i in range(SPAN + GRAMS - 1)))
 
 
-def _runs(n: int) -> Column:
-    """Hashes of all runs of n words; null for fewer words."""
-    return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: _hash(F.col("words"), i, n)))
+def _runs(k: int) -> Column:
+    """start, n and hash of all runs of k words; none for fewer words."""
+    last = F.size("words") - k
+    run = lambda i: F.struct(i.alias("start"), F.lit(k).alias("n"), _hash(F.col("words"), i, k).alias("_hash"))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), run)).otherwise(F.array().cast("array<struct<start:int,n:int,_hash:bigint>>"))
 
 
 def _small(side: DataFrame) -> bool:
@@ -106,15 +109,18 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     ]
     found = met.select("doc_id", "_text", "item", F.explode(F.array(*same)).alias("start"), F.lit(SPAN).alias("n")).filter("start IS NOT NULL")
     lengths = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < SPAN).distinct().collect())  # under SPAN rows
-    for n in lengths:
-        short = items.filter(F.size("words") == n).select(F.xxhash64(F.lit(n), *(F.get("words", F.lit(i)) for i in range(n))).alias("_hash"), "item", F.col("words").alias("_iw"))
-        runs = docs.select("doc_id", "_text", "words", F.posexplode_outer(_runs(n)).alias("start", "_hash"))
-        run = F.slice("words", F.col("start") + 1, F.lit(n))
+    if lengths:  # all of them in one pass
+        n = F.size("words")
+        hash_of = lambda k: _hash(F.col("words"), F.lit(0), k)
+        short = items.filter(n.isin(lengths)).select(F.coalesce(*(F.when(n == k, hash_of(k)) for k in lengths)).alias("_hash"), "item", F.col("words").alias("_iw"))
+        runs = docs.select("doc_id", "_text", "words", F.explode_outer(F.concat(*(_runs(k) for k in lengths))).alias("_run"))
+        runs = runs.select("doc_id", "_text", "words", "_run.start", "_run.n", "_run._hash")
+        run = F.slice("words", F.col("start") + 1, F.col("n"))
         if _small(short):
             met = runs.join(F.broadcast(short), "_hash").filter(run == F.col("_iw"))
         else:
-            met = runs.select("doc_id", "_text", "start", "_hash", run.alias("_dw")).join(short, "_hash").filter("_dw = _iw")
-        found = found.unionByName(met.select("doc_id", "_text", "item", "start", F.lit(n).alias("n")))
+            met = runs.filter("_hash IS NOT NULL").select("doc_id", "_text", "start", "n", "_hash", run.alias("_dw")).join(short, "_hash").filter("_dw = _iw")
+        found = found.unionByName(met.select("doc_id", "_text", "item", "start", "n"))
     return found
 
 
@@ -148,5 +154,6 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 2, whole_suffices: bool = False) -> DataFrame:
     """docs without the contaminated ones, in their own columns. whole_suffices: nor any that a window of SPAN words is hit in."""
     found = contamination(docs, benchmark, least_items)
-    bad = found.filter(F.col("contaminated") | F.col("whole") if whole_suffices else F.col("contaminated")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_idt")).distinct()
-    return docs.join(common.materialize(bad, "bad"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_idt")), "left_anti")
+    id_, text_ = free("_id", docs), free("_idt", docs)
+    bad = found.filter(F.col("contaminated") | F.col("whole") if whole_suffices else F.col("contaminated")).select(F.col("doc_id").alias(id_), F.col("_text").alias(text_)).distinct()
+    return docs.join(common.materialize(bad, "bad"), col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(col("text")) == F.col(text_)), "left_anti")

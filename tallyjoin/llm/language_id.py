@@ -4,19 +4,21 @@ Kernel: the blended spectrum of n-grams of 1 to MAX_GRAM letters, by presence: t
 over the root of the product of their numbers. N-grams are code points of the lower-cased text, anything but letters
 being one space, hashed to FEATURES slots. Nystroem: the kernel against LANDMARKS landmark texts; one-versus-rest kernel
 ridge regression on them. As the kernel is a scalar product of presence vectors, landmarks and coefficients multiply out
-to one matrix (slots x languages), and a batch of texts is scored by products with it.
+to one matrix (slots x languages); texts are scored ROWS at a time, by the product of their presence vectors with it.
 
 The model is fitted on at most PER_LANGUAGE texts a language and TRAIN_ROWS in all, the first in hash order of doc_id, each
 language's first before any's second; all texts are read whole.
 
 Defined results: a text that is null or has no letter is "und" with score 0; without any learnable row all are "und";
 doc_id null is never learnt from and not held out; repeated rows are rows of their own; ties go to the language first by
-code point; score is the share of the winner in a softmax over the languages.
+code point; score is the share of the winner in a softmax over the languages; columns of any names are kept, but for those
+named held_out, lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyjoin.llm import common
+from tallyjoin.names import col
 
 MAX_GRAM = 4
 FEATURES = 1 << 15
@@ -35,8 +39,11 @@ LANDMARKS = 256
 RIDGE = 0.1
 SHARPNESS = 4.0
 UNKNOWN = "und"
-#: Texts of up to so many characters at once; a longer one goes on from part to part.
+#: Texts that are scored by one product, and characters whose n-grams are made at once.
+ROWS = 64
 PART = 1 << 20
+#: How far from the even share of all languages to certainty the winner's share must be for known_language() to keep a text.
+LEAST_SURE = 0.2
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -63,19 +70,19 @@ class Model:
     weights: np.ndarray  # slots x languages
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [slots(t) for t in texts]
-        sizes = np.array([len(x) for x in found], np.int64)
         pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = np.flatnonzero(sizes)
-        if len(known) and self.languages:
-            sums = np.add.reduceat(self.weights[np.concatenate(found)], (np.cumsum(sizes) - sizes)[known], axis=0)
-            f = SHARPNESS * sums / np.sqrt(sizes[known])[:, None]
+        if not self.languages:
+            return pred, score
+        for at in range(0, len(texts), ROWS):
+            found = [slots(t) for t in texts[at : at + ROWS]]
+            sizes = np.array([len(x) for x in found], np.int64)
+            x = np.zeros((len(found), FEATURES), np.float32)
+            x[np.repeat(np.arange(len(found)), sizes), np.concatenate(found)] = 1.0
+            f = SHARPNESS * (x @ self.weights) / np.sqrt(np.maximum(sizes, 1))[:, None]
             p = np.exp(f - f.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            for i, k in zip(known.tolist(), p.argmax(1).tolist(), strict=True):
-                pred[i] = self.languages[k]
-            for i, s in zip(known.tolist(), p.max(1).tolist(), strict=True):
-                score[i] = s
+            for i, k, share in zip(np.flatnonzero(sizes).tolist(), p.argmax(1)[sizes > 0].tolist(), p.max(1)[sizes > 0].tolist(), strict=True):
+                pred[at + i], score[at + i] = self.languages[k], share
         return pred, score
 
 
@@ -101,6 +108,7 @@ def held_out():
 def train(docs: DataFrame) -> Model:
     """Fits on texts with a language that aren't held out. Ids are chosen first, then only their texts are read."""
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "lang", "text")
     ids = docs.select("doc_id", "lang", held_out().alias("_out")).filter("NOT _out AND lang IS NOT NULL AND doc_id IS NOT NULL")
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PER_LANGUAGE)
@@ -134,18 +142,29 @@ def identify(docs: DataFrame) -> DataFrame:
     """docs with held_out, lang_pred and score added (taking the place of columns of these names). Narrow after training."""
     model = train(docs)
     share = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages floats
-    kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    table = docs.select(*kept, held_out().alias("held_out"))
-    schema = table.schema
+    kept = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
+    table = docs.select(*map(col, kept), held_out().alias("held_out"))
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         pred, score = share.value.predict(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return common.map_batches(table, batch_of, f"{fields}, lang_pred string, score double")
+    schema = T.StructType([*table.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return common.map_batches(table, batch_of, schema)
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told, in their own columns."""
-    return identify(docs).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+def known_language(docs: DataFrame, languages: Sequence[str] | None = None, least: float = LEAST_SURE) -> DataFrame:
+    """docs, in their own columns, of those languages (of any learnt one, if none are named) that the model is sure of.
+
+    A text goes if it has no letter, if the winner's share is less than least of the way from the even share to 1 (as that of
+    a text in a language or script that was never learnt is), or if the winner isn't among languages. Where nothing could be
+    learnt all texts go.
+    """
+    share = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        won, s = share.value.predict(batch.column("text").to_pylist())
+        even = 1 / max(1, len(share.value.languages))
+        return batch.filter(pa.array([w != UNKNOWN and x >= even + least * (1 - even) and (languages is None or w in languages) for w, x in zip(won, s, strict=True)], pa.bool_()))
+
+    return common.map_batches(docs, batch_of, docs.schema)

@@ -12,8 +12,9 @@ Highest quotients need no list of all blocks: around the divisor (sum of votes /
 more than its share of the number of parties, plus 2, so only those seats are ranked.
 
 Defined results: null text has size 0; a null source is a source, ordered last; sources without words have target 0;
-rows with equal doc_id are documents of their own (equal in doc_id, source and size: interchangeable); null doc_id is
-allowed; extra columns are ignored by mix() and kept by sample(); an empty table gives an empty result.
+rows with equal doc_id are documents of their own (equal in all columns: interchangeable); null doc_id is allowed; extra
+columns, of any names, are kept by sample() and change only which of equal ids and texts comes first; an empty table gives
+an empty result. A source has at most MAX_SHARDS shards: beyond 134 million words in a source they only grow.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
+from tallyjoin.names import col, free
 
 # Words, and the weights that the sources take in turn.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
 
     The text is read once; what goes on from there are a few numbers a document, which are shuffled once by shard.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("_key", F.xxhash64("doc_id", "size", F.lit(seed)))
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), common.row_hash(docs).alias("_row"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_key"))
     rows = common.materialize(sized, "sizes")
     cells = rows.groupBy("source", F.pmod("_key", F.lit(MAX_SHARDS)).alias("_cell")).agg(F.sum("size").alias("words"))
     cells = common.materialize(cells, "cells")
@@ -112,7 +114,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     placed = rows.join(sources.select(F.col("source").alias("_s"), "_shards", F.col("source_size").alias("_z"), F.col("target").alias("_t")), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_shard", F.pmod("_key", F.lit(MAX_SHARDS)) % F.col("_shards"))
     quota = quotas.select(F.col("source").alias("_qs"), F.col("_shard").alias("_qshard"), "_shard_words", "_blocks")
     met = placed.join(quota, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qshard")), "left")
-    line = W.partitionBy("source", "_shard").orderBy("_key", "doc_id", "size")
+    line = W.partitionBy("source", "_shard").orderBy("_key", "doc_id", "_row")
     start = F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     round_ = F.col("_shard_words")
     first = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), round_)
@@ -127,26 +129,30 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     parts = F.filter(F.transform(laps, part), lambda p: p["from"] < p["to"])
     out = on_line.withColumn("parts", F.when(F.col("_last") > F.col("_first"), parts).otherwise(F.filter(parts, lambda p: F.lit(False))))
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["to"] - p["from"])
-    return out.select("doc_id", "source", "size", F.col("_z").alias("source_size"), F.col("_t").alias("target"), F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "parts", "_key")
+    return out.select("doc_id", "source", "size", F.col("_z").alias("source_size"), F.col("_t").alias("target"), F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "parts", "_row")
 
 
 def sample(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """The mixed documents themselves, in docs' columns: a row for each part taken, its text cut to the part's words.
 
-    n_chars, if there, follows the text. Documents of which nothing is taken go.
+    n_chars, if there, follows the text. Documents of which nothing is taken go. Texts are shuffled once, to their parts; of
+    rows that are equal in all columns, which alone can't be told apart, one stands for all and gives the parts of all.
     """
-    mixed = mix(docs, seed=seed, **options).filter("size(parts) > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("parts").alias("_parts"))
-    # Rows equal in id, source and size get their parts in any order; numbering them keeps the match one to one.
-    same = W.partitionBy("_id", "_src", "_size").orderBy("_parts")
-    mixed = mixed.withColumn("_no", F.row_number().over(same))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    mine = docs.withColumn("_dsize", size)
-    mine = mine.withColumn("_dno", F.row_number().over(W.partitionBy("doc_id", "source", "_dsize").orderBy("text")))
-    met = mine.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_dsize") == F.col("_size")) & (F.col("_dno") == F.col("_no")))
-    met = met.withColumn("_part", F.explode("_parts"))
-    whole = (F.col("_part.from") == 0) & (F.col("_part.to") == F.col("_size"))
-    words = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), CAST(_part.from AS INT) + 1, CAST(_part.to - _part.from AS INT)), '')")
-    met = met.withColumn("text", F.when(whole, F.col("text")).otherwise(words))
+    id_, row_, parts_, part_, size_ = (free(c, docs) for c in ("_id", "_row", "_parts", "_part", "_size"))
+    mixed = mix(docs, seed=seed, **options).groupBy(F.col("doc_id").alias(id_), F.col("_row").alias(free("_row2", docs)), F.col("size").alias(size_))
+    mixed = mixed.agg(F.flatten(F.collect_list("parts")).alias(parts_), (F.count("*") > 1).alias("again"))
+    mixed = common.materialize(mixed.filter(F.size(parts_) > 0), "parts")
+    mine = docs.withColumn(row_, common.row_hash(docs))
+    same = col("doc_id").eqNullSafe(F.col(id_)) & (F.col(row_) == F.col(free("_row2", docs)))
+    again = mixed.filter("again").drop("again")
+    one = mine.join(again.select(id_, free("_row2", docs)), same, "left_semi").dropDuplicates(["doc_id", row_])
+    met = mine.join(mixed.filter("NOT again").drop("again"), same).unionByName(one.join(again, same))
+    met = met.withColumn(part_, F.explode(parts_))
+    start, end = F.col(part_)["from"], F.col(part_)["to"]
+    whole = (start == 0) & (end == F.col(size_))
+    words = F.regexp_extract_all(F.col("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, (start + 1).cast("int"), (end - start).cast("int")), ""))
+    out = {"text": text}
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return met.select(*docs.columns)
+        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return met.select(*(out[c].alias(c) if c in out else col(c) for c in docs.columns))

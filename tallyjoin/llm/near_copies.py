@@ -1,19 +1,21 @@
-"""Near copies by the Jaccard similarity of their five-word shingles: an exact join, whatever bits SimHashes differ by.
-
-Two sets with a similarity of at least 4/5 share one of the first n - ceil(4n/5) + 1 of their n shingles, in any order that
-holds for all texts. So each set is joined on these alone. Each pair that meets and could still reach 4/5 by its sizes and
-the places of the shingle is compared in full, unless its two texts are in one component already:
-
-* Words are SimHash's. A text of fewer words than SHINGLE has one shingle, all its words; one without words an empty one.
-* Texts of equal shingles are one node from the start.
-* The order has the shingles that many of a sample's texts hold last, then goes by hash, so that a common line seldom brings
-  texts together. The sample changes what is compared, never what is found.
-* First, each node is compared with the one before it among those that share a shingle, by number of shingles: a large group
-  of copies mostly becomes one component by about as many comparisons as it has texts; then with the one before it of another
-  component. All pairs that are left between components come last.
-* Before whole sets are made, pairs go whose parities (of the number of shingles in each of 64 * PARITIES classes) differ in
-  more classes than shingles may differ: each shingle that only one set holds changes one class, so no similar pair goes.
+"""SimHash near-dedup with verified links: five-word shingles of a Jaccard similarity of 4/5 or more.
 
+Candidates come from the generalised pigeonhole of simhash.py, by its partitions and thresholds, at DISTANCE bits. The
+fingerprint here is of a text's set of words, as few edits touch few words but five times as many shingles: similar texts
+then differ by 0 to 10 bits instead of 4 to 14. Candidates are verified by
+
+* their numbers of shingles, which a similarity of 4/5 bounds;
+* a second SimHash, of SKETCH bits of the shingles themselves: texts at the similarity differ by 39 of 256 bits, give or
+  take 6, and pairs of more than SKETCH_BITS go (FEW_BITS where a text has fewer than FEW shingles, so that ties weigh more);
+* their whole shingle sets.
+
+A pair is linked where all three hold. Texts of equal shingle sets are one node from the start, and pairs of nodes that are in
+one component already aren't verified again: a first round takes each node with the one before it in its buckets, two more
+with the nearest of another component there, which makes most of a group one component; the last takes all nodes of different
+components in each bucket. A bucket of more than BUCKET nodes is cut in blocks: those outside its largest component meet
+each other's blocks and each block of that component, whose blocks needn't meet each other.
+
+Words are SimHash's. A text of fewer words than SHINGLE has one shingle, all its words; one without words an empty one.
 Defined results are those of SimHash's: null text is empty, rows with equal doc_id are rows of their own, null doc_ids come
 last, empty tables give empty results.
 """
@@ -31,192 +33,220 @@ from tallyjoin.llm import common, simhash
 from tallyjoin.llm.components import components
 
 SHINGLE = 5
-#: Texts of the sample, texts of it that make a shingle common, and most common shingles.
-SAMPLE, COMMON, MOST_COMMON = 8192, 4, 50_000
-#: 64-bit numbers of parities.
-PARITIES = 16
-#: Most texts to be compared whose ids are broadcast.
+#: Bits that fingerprints of similar texts may differ by.
+DISTANCE = 10
+#: Bits of the second SimHash, and how many of them may differ.
+SKETCH, SKETCH_BITS = 256, 56
+FEW, FEW_BITS = 32, 80
+#: What a key row costs against a candidate, as it carries the second SimHash.
+ROW_COST = 300.0
+#: Nodes that one task compares all with all, and most texts to be compared whose ids are broadcast.
+BUCKET = 1 << 14
 BROADCAST_ROWS = 200_000
-#: Rows that are compared at once, and the longest run of a shingle that is compared by distance in it.
+#: Rows that are taken up at once, and the longest run that is compared by distance in it.
 HELD, SHORT = 1 << 16, 64
+#: Rows that are compared at once with a whole run.
+BLOCK = 256
 
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
+_MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & simhash.ALL for i in range(1, SKETCH // 64 + 1)], np.uint64)
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of the text's shingles, ascending."""
+
+def word_hashes(text: str | None) -> np.ndarray:
     import xxhash
 
     words = (text or "").encode().lower().split()
-    if not words:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the shingles of words, ascending."""
+    if not len(h):
         return np.zeros(1, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    size = min(SHINGLE, len(words))
-    n, out = len(words) - size + 1, np.full(len(words) - size + 1, size, np.uint64)
+    size = min(SHINGLE, len(h))
+    n, out = len(h) - size + 1, np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
         out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return np.unique(out)
 
 
-def least_first(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of one text that similar ones must share one of. often: common shingles, ascending, with their counts."""
-    n = len(found)
-    most = n - -(-4 * n // 5) + 1
-    if len(often):
-        at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-        found = found[np.lexsort((found, np.where(often[at] == found, counts[at], 0)))]
-    return found[:most]
-
-
-def parities(found: np.ndarray) -> np.ndarray:
-    size = 64 * PARITIES
-    odd = np.bincount((found >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    n = docs.count()
-    some = docs.select("text").sample(False, min(1.0, SAMPLE / max(n, 1)), 42)
-    one = pa.schema([("s", pa.list_(pa.int64()))])
-    found = common.map_batches(some, lambda b: common.batch_of(one, [[shingles(t).view(np.int64) for t in b.column("text").to_pylist()]]), "s array<long>")
-    rows = found.select(F.explode("s").alias("s")).groupBy("s").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
-    often = np.array([r.s for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(often)
-    return often[order], np.array([r["count"] for r in rows], np.int64)[order]
+def sketch(found: np.ndarray) -> list[int]:
+    x = (found ^ (found >> np.uint64(31)))[:, None] * _MIX
+    return simhash.majority([x ^ (x >> np.uint64(32))], len(found), len(_MIX))
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (the hash of all shingles), n (their number), prefix and parity per row."""
+def described(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, text_hash, row_hash, node (the hash of all shingles), n (their number), fp and the second SimHash."""
     import xxhash
 
-    often, counts = common_shingles(docs)
-    out = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+    names = ["doc_id", "text_hash", "row_hash", "node", "n", "fp", *SKETCHES]
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in batch.column("text").to_pylist()]
-        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-        prefix = [least_first(s, often, counts).view(np.int64) for s in found]
-        return common.batch_of(out, [batch.column("doc_id"), batch.column("text_hash"), pa.array(node), [len(s) for s in found], prefix, [parities(s) for s in found]])
-
-    return common.map_batches(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS text_hash"), batch_of, "doc_id long, text_hash long, node long, n int, prefix array<long>, parity array<long>")
-
-
-def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of many rows at once, never cutting a run of equal values of the first."""
+        node, n, fps = [], [], []
+        for text in batch.column("text").to_pylist():
+            h = word_hashes(text)
+            s = shingles(h)
+            node.append(xxhash.xxh64_intdigest(s.tobytes()))
+            n.append(len(s))
+            words = np.unique(h)
+            fps.append([*simhash.majority([words], len(words)), *sketch(s)])
+        made = np.array(fps, np.uint64).reshape(len(n), -1).view(np.int64)
+        rest = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *(pa.array(made[:, i]) for i in range(len(SKETCHES) + 1))]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("row_hash"), *rest], names)
+
+    schema = ", ".join(f"{c} {'int' if c == 'n' else 'long'}" for c in names)
+    return common.map_batches(simhash.identified(docs), batch_of, schema)
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Starts of the runs of rows that are equal in the first key columns, and the columns; runs are never cut."""
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def out(cols: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:key]], axis=0)]), cols
+
     for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
         if size >= HELD:
-            cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(batch.num_columns)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # sorted, and the last run may go on
+            starts, cols = out([np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(batch.num_columns)])
+            cut = int(starts[-1])  # the last run may go on
             if cut:
-                yield [c[:cut] for c in cols]
+                yield starts[:-1], [c[:cut] for c in cols]
             held = [pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in cols], batch.schema.names)]
             size = 0  # a run longer than HELD is joined once for each HELD more rows
     if sum(b.num_rows for b in held):
-        yield [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)]
-
-
-def could_reach(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows a and b, if the shingle they share is the first they do, can have a similarity of 4/5."""
-    na, nb = n[a].astype(np.int64), n[b].astype(np.int64)
-    rest = np.minimum(na - pos[a], nb - pos[b])
-    return (9 * rest >= 4 * (na + nb)) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
-
-
-def shared(nodes: DataFrame) -> DataFrame:
-    """key, node, n, pos of all shingles that more than one node has in its prefix; before: a neighbour to compare with."""
-    out = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("before", pa.int64())])
-
-    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node, pos in runs(batches):
-            same = np.r_[False, key[1:] == key[:-1]]
-            many = same | np.r_[same[1:], False]
-            last = np.arange(-1, len(key) - 1)
-            early = np.flatnonzero(9 * pos.astype(np.int64) <= n)  # all that texts of equal numbers can meet by
-            last[early] = np.r_[-1, early[:-1]][: len(early)]
-            i = np.flatnonzero((last >= 0) & (key[last] == key))
-            near = np.zeros(len(key), bool)
-            near[i] = could_reach(n, pos, i, last[i])
-            before = pa.array(node[last], mask=~near).filter(pa.array(many))
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many]), pa.array(n[many]), pa.array(pos[many]), before], schema=out)
-
-    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "n", "node", "pos")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "n", "node")
-    return dealt.mapInArrow(pick, "key long, node long, n int, pos int, before long")
-
-
-def between(key: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of equal keys and different roots that could reach the similarity."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-    short = mixed & (sizes <= SHORT)
-    left = np.where(np.repeat(short, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(key)), 0)  # rows of the run from here on
-    pairs = []
-    for d in range(1, int(sizes[short].max(initial=1))):
-        a = np.flatnonzero(left > d)
-        a = a[root[a] != root[a + d]]
-        pairs.append((a, a + d))
-    for at, size in zip(starts[mixed & ~short].tolist(), sizes[mixed & ~short].tolist(), strict=True):
-        r = root[at : at + size]
-        _, where, count = np.unique(r, return_inverse=True, return_counts=True)
-        most = where == count.argmax()
-        for i in np.flatnonzero(~most).tolist():
-            lo, hi = at + np.searchsorted(n[at : at + size], [-(-4 * int(n[at + i]) // 5), 5 * int(n[at + i]) // 4 + 1])
-            b = np.arange(lo, hi)
-            b = b[(root[b] != r[i]) & (most[b - at] | (b > at + i))]
-            b = b[could_reach(n, pos, np.full(len(b), at + i), b)]
-            pairs.append((np.full(len(b), at + i), b))
-    if not pairs:
-        return starts[:0], starts[:0]
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    ok = could_reach(n, pos, a, b)
-    return a[ok], b[ok]
-
-
-def last_between(key: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows (a, b) that between() gives at most one for each a: b is the last row before it of another root."""
-    early = np.flatnonzero(9 * pos.astype(np.int64) <= n)
-    turn = np.r_[False, root[early][1:] != root[early][:-1]]
-    last = np.maximum.accumulate(np.where(turn, np.arange(-1, len(early) - 1), -1)) if len(early) else early
-    a, b = early[last >= 0], early[last[last >= 0]]
-    ok = (key[a] == key[b]) & could_reach(n, pos, a, b)
-    return a[ok], b[ok]
-
-
-def pairs_between(met: DataFrame, roots: DataFrame, choose: Callable) -> DataFrame:
-    """Distinct (u, v) of different components that share a shingle, as choose (between, last_between) takes them."""
-
-    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node, pos, root in runs(batches):
-            a, b = choose(key, root, n, pos)
-            found = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
-
-    rooted = met.select("key", "n", "node", "pos").join(roots, "node", "left").select("key", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
-    return rooted.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(pick, "u long, v long").distinct()
-
-
-def similar(docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose similarity is 4/5 or more, by their whole sets. firsts: node, n, parity, _id, _idt of one row a node."""
+        yield out([np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(held[0].num_columns)])
+
+
+class Rows:
+    """What is compared of the nodes in some buckets."""
+
+    def __init__(self, node: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, *sketches: np.ndarray):
+        self.node, self.root, self.n, self.fp = node, root, n.astype(np.int64), fp.view(np.uint64)
+        self.sketches = [s.view(np.uint64) for s in sketches]
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits of the second SimHash that rows a and b differ by."""
+        return sum((np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in self.sketches), np.zeros(len(a), np.int64))
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the row numbers (a, b) those of different components that may be similar."""
+        for fits in (
+            lambda: self.root[a] != self.root[b],
+            lambda: np.bitwise_count(self.fp[a] ^ self.fp[b]) <= DISTANCE,
+            lambda: 5 * np.minimum(self.n[a], self.n[b]) >= 4 * np.maximum(self.n[a], self.n[b]),
+            lambda: self.differing(a, b) <= np.where(np.minimum(self.n[a], self.n[b]) < FEW, FEW_BITS, SKETCH_BITS),
+        ):
+            ok = fits()
+            a, b = a[ok], b[ok]
+        return a, b
+
+    def last(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each row with the last one before it in its run that has another root."""
+        begins = np.zeros(len(self.node), np.int64)
+        begins[starts] = starts
+        begins = np.maximum.accumulate(begins)
+        turn = np.r_[False, self.root[1:] != self.root[:-1]]
+        last = np.maximum.accumulate(np.where(turn, np.arange(-1, len(self.node) - 1), -1))
+        a = np.flatnonzero(last >= begins)
+        yield self.close(a, last[a])
+
+    def every(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All rows of different roots in each run, so many pairs at once as are made by BLOCK rows and a run."""
+        sizes = np.diff(np.r_[starts, len(self.node)])
+        mixed = np.minimum.reduceat(self.root, starts) != np.maximum.reduceat(self.root, starts)
+        short = mixed & (sizes <= SHORT)
+        left = np.where(np.repeat(short, sizes), np.repeat(starts + sizes, sizes) - np.arange(len(self.node)), 0)  # rows of the run from here on
+        for d in range(1, int(sizes[short].max(initial=1))):
+            a = np.flatnonzero(left > d)
+            yield self.close(a, a + d)
+        for at, size in zip(starts[mixed & ~short].tolist(), sizes[mixed & ~short].tolist(), strict=True):
+            fp = self.fp[at : at + size]
+            for i in range(0, size, BLOCK):
+                a, b = np.nonzero(np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, i:]) <= DISTANCE)
+                later = b > a
+                yield self.close(at + i + a[later], at + i + b[later])
+
+    def nearest(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of the pairs of every() the nearest of each row."""
+        least, of = np.full(len(self.node), SKETCH + 1), np.zeros(len(self.node), np.int64)
+        for a, b in self.every(starts):
+            bits = self.differing(a, b)
+            for x, y in ((a, b), (b, a)):
+                order = np.lexsort((bits, x))
+                x, y, d = x[order], y[order], bits[order]
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else order
+                better = first[d[first] < least[x[first]]]
+                least[x[better]], of[x[better]] = d[better], y[better]
+        a = np.flatnonzero(least <= SKETCH)
+        yield a, of[a]
+
+
+def probed(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """nodes once for each mask, with mask and key."""
+    many = nodes.withColumn("mask", F.explode(F.array(*(F.lit(simhash.signed(m)) for m in masks))))
+    return many.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+
+
+def crowded(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """mask and key of the buckets with more than BUCKET nodes, and the blocks they make."""
+    size = probed(nodes.select("fp"), masks).groupBy("mask", "key").count().filter(F.col("count") > BUCKET)
+    return common.materialize(size.select("mask", "key", F.ceil(F.col("count") / BUCKET).alias("blocks")), "crowded")
+
+
+def candidates(nodes: DataFrame, masks: list[int], hot: DataFrame, choose: Callable, seed: int | None = None) -> DataFrame:
+    """Distinct (u, v) of different components that may be similar, as choose takes them: Rows.last, nearest or every.
+
+    nodes: node, root, n, fp and the second SimHash. seed: nodes meet only in their blocks, which are dealt by that seed.
+    """
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    rows = probed(nodes, masks).join(hot, ["mask", "key"], "left")
+    block = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), of)
+    if seed is not None:
+        pieces = F.struct(F.lit(0).cast("long").alias("a"), F.coalesce(block(F.col("blocks"), seed), F.lit(0)).cast("long").alias("b"))
+    else:
+        there = rows.filter("blocks IS NOT NULL").groupBy("mask", "key", "root").count()
+        there = there.groupBy("mask", "key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("in_main"), F.sum("count").alias("all"))
+        there = common.materialize(there.select("mask", "key", "main", F.ceil(F.col("in_main") / BUCKET).alias("mains"), F.ceil((F.col("all") - F.col("in_main")) / BUCKET).alias("others")), "blocks")
+        rows = rows.join(F.broadcast(there) if there.count() <= BROADCAST_ROWS else there, ["mask", "key"], "left")
+        main = F.col("root") == F.col("main")
+        mine = F.when(main, F.col("others") + block(F.col("mains"), 0)).otherwise(block(F.greatest("others", F.lit(1)), 0))
+        met = F.sequence(F.lit(0).cast("long"), F.col("others") + F.when(main, 0).otherwise(F.col("mains")) - 1)
+        split = F.when(F.col("others") > 0, F.transform(met, lambda x: F.struct(F.least(mine, x).alias("a"), F.greatest(mine, x).alias("b"))))
+        one = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
+        pieces = F.explode(F.when(F.col("blocks").isNull(), one).otherwise(split))
+    rows = rows.withColumn("piece", pieces).select("mask", "key", F.col("piece.a").alias("a"), F.col("piece.b").alias("b"), "node", "root", "n", "fp", *SKETCHES)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, cols in runs(batches, 4):
+            of = Rows(*cols[4:])
+            for a, b in choose(of, starts):
+                if len(a):
+                    found = np.unique(np.stack([np.minimum(of.node[a], of.node[b]), np.maximum(of.node[a], of.node[b])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
+
+    dealt = rows.repartition("mask", "key", "a", "b").sortWithinPartitions("mask", "key", "a", "b", "fp", "node")
+    return dealt.mapInArrow(compare, "u long, v long").distinct()
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose similarity is 4/5 or more, by their whole sets. nodes: node, _id and _idt of a row of each."""
     import xxhash
 
-    short = firsts.select("node", "n", "parity")
-    both = pairs.join(short.toDF("u", "nu", "pu"), "u").join(short.toDF("v", "nv", "pv"), "v")
-    differ = sum((F.bit_count(F.get("pu", F.lit(i)).bitwiseXOR(F.get("pv", F.lit(i)))) for i in range(PARITIES)), F.lit(0))
-    pairs = common.materialize(both.filter(9 * differ <= F.col("nu") + F.col("nv")).select("u", "v"), "likely")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    asked = common.materialize(firsts.join(asked, "node", "left_semi").select("_id", "_idt"), "asked")
-    if asked.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_idt")), "left_semi").select("text")
-    out = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
+    asked = common.materialize(nodes.join(asked, "node", "left_semi").select("_id", "_idt"), "asked")
+    texts = simhash.identified(docs).select("doc_id", "text_hash", "text")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_idt")), "left_semi").select("text")
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t) for t in batch.column("text").to_pylist()]
-        return common.batch_of(out, [pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)), [s.view(np.int64) for s in found]])
+        found = [shingles(word_hashes(t)) for t in batch.column("text").to_pylist()]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "s"])
 
     sets = common.materialize(common.map_batches(texts, batch_of, "node long, s array<long>"), "sets")  # twice for a repeated row
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
@@ -224,31 +254,26 @@ def similar(docs: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and component per row; components join what is similar by 4/5 or more.
-
-    The largest tables, those of shingles, are removed at the end: with them the pipeline's later stages would run out of disk.
-    """
-    rows = common.materialize(nodes_of(docs), "shingles")
-    met = common.materialize(shared(rows.select("node", "n", "prefix").dropDuplicates(["node"])), "shared")
-    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "parity")).alias("x"))
-    firsts = common.materialize(firsts.select("node", "x.n", "x.parity", F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_idt")), "firsts")
-    near = met.filter("before IS NOT NULL").select(F.least("node", "before").alias("u"), F.greatest("node", "before").alias("v")).distinct()
-    near = common.materialize(near, "neighbours")
-    links = similar(docs, firsts, near)
-    for choose in (last_between, between):
-        links = common.materialize(links, "links")
+    """doc_id, text_hash, row_hash and component per row; components join what is linked."""
+    rows = common.materialize(described(docs), "described")
+    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "n", "fp", *SKETCHES)).alias("x"))
+    firsts = common.materialize(firsts.select("node", F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_idt"), *(f"x.{c}" for c in ("n", "fp", *SKETCHES))), "firsts")
+    nodes = firsts.select("node", "n", "fp", *SKETCHES)
+    masks = simhash.key_masks(nodes, DISTANCE, ROW_COST)
+    hot = crowded(nodes, masks)
+    links = tried = None
+    rooted = nodes.withColumn("root", F.col("node"))
+    for choose, seed in ((Rows.last, 1), (Rows.nearest, 2), (Rows.nearest, 3), (Rows.every, None)):
+        pairs = candidates(rooted.select("node", "root", "n", "fp", *SKETCHES), masks, hot, choose, seed)
+        pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = similar(docs, firsts, pairs)
+        links = common.materialize(found if links is None else links.unionByName(found), "links")
         roots = common.materialize(components(links), "roots")
-        rest = common.materialize(pairs_between(met, roots, choose).join(near, ["u", "v"], "left_anti"), "pairs")
-        near = near.unionByName(rest)
-        links = links.unionByName(similar(docs, firsts, rest))
-    roots = common.materialize(components(common.materialize(links, "links")), "roots")
-    found = rows.select("doc_id", "text_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
-    found = common.materialize(found, "components")
-    for done in (rows, met, firsts):
-        common.remove(done)
-    return found
+        rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("doc_id", "text_hash", "row_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", "row_hash", F.coalesce("root", "node").alias("component"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, as SimHash's."""
-    return simhash.one_of_each(docs, near_copies(docs))
+    """docs with one document of each component: that of the least doc_id, as simhash.one_of_each() has it."""
+    return simhash.one_of_each(docs, common.materialize(near_copies(docs), "components"))

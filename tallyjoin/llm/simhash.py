@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
 from tallyjoin.llm.components import components
+from tallyjoin.names import col, free, own
 
 # Fixed values of the fingerprint: words in a shingle, the hash's seed, its bits.
 SHINGLE = 3
@@ -53,23 +54,34 @@ def fingerprint(text: str | None) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if len(words) >= SHINGLE else iter([b" ".join(words)])
-    n, ones = max(1, len(words) - SHINGLE + 1), np.zeros(BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for i in range(0, n, HELD):
-        h = np.fromiter((digest(s, SEED) for s, _ in zip(shingles, range(HELD), strict=False)), np.uint64, min(HELD, n - i))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    n, digest = max(1, len(words) - SHINGLE + 1), xxhash.xxh64_intdigest
+    return majority((np.fromiter((digest(s, SEED) for s, _ in zip(shingles, range(HELD), strict=False)), np.uint64, min(HELD, n - i)) for i in range(0, n, HELD)), n)[0]
+
+
+def majority(parts: Iterable[np.ndarray], n: int, words: int = 1) -> list[int]:
+    """Numbers whose bits are 1 where they are in over half of n hashes, given in parts; a hash has so many words of 64 bits."""
+    ones = np.zeros(BITS * words, np.int64)
+    for part in parts:
+        for i in range(0, len(part), HELD):
+            bits = np.unpackbits(np.ascontiguousarray(part[i : i + HELD]).view(np.uint8), bitorder="little")
+            ones += bits.reshape(-1, BITS * words).sum(0, dtype=np.uint32)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").tolist()
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the hashes of the text and of the whole row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), common.row_hash(docs).alias("row_hash"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, a signed 64-bit number, and text_hash per row."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
+    """doc_id, fp, a signed 64-bit number, text_hash and row_hash per row."""
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64()), ("row_hash", pa.int64())])
 
     def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter(map(fingerprint, batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-        return common.batch_of(out, [batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("text_hash")])
+        return common.batch_of(out, [batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("text_hash"), batch.column("row_hash")])
 
-    return common.map_batches(docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS text_hash"), batch_of, "doc_id long, fp long, text_hash long")
+    return common.map_batches(identified(docs), batch_of, "doc_id long, fp long, text_hash long, row_hash long")
 
 
 def signed(mask: int) -> int:
@@ -139,13 +151,16 @@ def thresholds(costs: list[list[float]], budget: int) -> tuple[float, list[int]]
     return best[budget]
 
 
-def key_masks(nodes: DataFrame, distance: int) -> list[int]:
-    """The masks under which linked fingerprints are equal, by the cheapest partitions and thresholds."""
+def key_masks(nodes: DataFrame, distance: int, row_cost: float = ROW_COST) -> list[int]:
+    """The masks under which linked fingerprints are equal, by the cheapest partitions and thresholds.
+
+    Partitions are tried in numbers that suit thresholds of 0, 1, 2 and 3, and one more.
+    """
     n = nodes.count()
     counts = bit_counts(nodes)
     p = counts.diagonal() / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-6, 1)
-    groups = {m: grouped_bits(counts, n, m) for m in range(max(2, distance), distance + 3)}
+    groups = {m: grouped_bits(counts, n, m) for m in sorted({max(2, -(-(distance + 1) // k)) for k in range(1, 5)} | {distance + 2})}
     masks = sorted({mask_of(g) for gs in groups.values() for g in gs})
     keyed = nodes.select(F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("key")) for i, x in enumerate(masks)))).alias("x"))
     pairs = keyed.groupBy("x.k", "x.key").count().filter("count > 1").groupBy("k").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("c")).collect()
@@ -156,7 +171,7 @@ def key_masks(nodes: DataFrame, distance: int) -> list[int]:
         for g in gs:
             chance = few_differ(differ[g], distance)
             zero = max(at_zero.get(mask_of(g), 0.0), 1.0)
-            costs.append([min(zero * chance[t] / max(chance[0], 1e-300), n * n / 2) + ROW_COST * n * comb(len(g), t) for t in range(distance + 1)])
+            costs.append([min(zero * chance[t] / max(chance[0], 1e-300), n * n / 2) + row_cost * n * comb(len(g), t) if t < len(g) else float("inf") for t in range(distance + 1)])
         cost, ts = thresholds(costs, distance + 1)
         if cost < best[0]:
             best = (cost, [mask_of(set(g) - set(free)) for g, t in zip(gs, ts, strict=True) if t >= 0 for free in combinations(g, t)])
@@ -243,7 +258,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, the least doc_id that links lead to, and text_hash per row."""
+    """Per row: doc_id, fingerprint (16 hex digits), component_id, the least doc_id that links lead to, text_hash, row_hash."""
     rows = common.materialize(fingerprints(docs), "fingerprints")
     nodes = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), distance))
@@ -251,7 +266,7 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     rooted = common.materialize(rooted, "rooted")
     named = common.materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "named")
     of_fp = common.materialize(rooted.select("fp", "root").join(named, "root").select("fp", "root", "component_id"), "of_fp")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", F.col("root").alias("component"))
+    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "row_hash", F.col("root").alias("component"))
 
 
 def distinct_documents(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -260,9 +275,22 @@ def distinct_documents(docs: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with one document of each component: the least doc_id, nulls last, then the least text hash."""
-    keep = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("x"))
-    keep = common.materialize(keep.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_idt")).distinct(), "keep")
-    chosen = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_idt")), "left_semi")
-    repeated = found.groupBy("doc_id", "text_hash").count().filter("count > 1")
-    return chosen if repeated.isEmpty() else chosen.dropDuplicates(["doc_id", "text"])
+    """docs with one document of each component: the least doc_id, nulls last, then the least hashes of text and whole row.
+
+    So the choice never hangs on the order of rows. Of rows that are equal in all columns one stays: only those are shuffled
+    to be told apart. found: doc_id, text_hash, row_hash and component of each row.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_hash")
+    keep = found.groupBy("component").agg(F.min(order).alias("x"))
+    keep = common.materialize(keep.select(F.col("x.doc_id").alias("doc_id"), F.col("x.row_hash").alias("row_hash")).distinct(), "keep")
+    again = found.groupBy("doc_id", "row_hash").count().filter("count > 1")
+    again = keep.join(again.select(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("hash")), "left_semi")
+    again = common.materialize(again, "again")
+    id_, hash_ = free("_id", docs), free("_hash", docs)
+    row = docs.withColumn(hash_, common.row_hash(docs))
+    same = lambda side: (side, col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(free("_hash2", docs))))
+    keys = lambda side: side.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(free("_hash2", docs)))
+    chosen = row.join(*same(keys(keep)), "left_semi")
+    alone = chosen.join(*same(keys(again)), "left_anti")
+    one = chosen.join(*same(keys(again)), "left_semi").dropDuplicates(["doc_id", hash_])
+    return alone.unionByName(one).select(*own(docs))

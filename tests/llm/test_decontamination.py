@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyjoin.llm import decontamination as dc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,7 +82,7 @@ def test_more_fingerprints_than_are_broadcast(spark, monkeypatch):
 
 def test_clean_keeps_columns_and_rows(spark):
     item = "one two three four five six seven eight"
-    d = spark.createDataFrame([(1, item, "a"), (2, "clean", "b"), (2, "clean", "b"), (None, None, None)], "doc_id long, text string, items string")
+    d = spark.createDataFrame([(1, item, "a"), (2, "clean", "b"), (2, "clean", "b"), (None, None, None)], "doc_id long, text string, _id string").withColumn("_idt", F.lit(5)).withColumn("a`.b", F.lit(6))
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = dc.clean(d, b, 1)
-    assert kept.columns == d.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "clean", "b"), (2, "clean", "b"), (None, None, None)], key=str)
+    assert kept.columns == d.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "clean", "b", 5, 6), (2, "clean", "b", 5, 6), (None, None, None, 5, 6)], key=str)

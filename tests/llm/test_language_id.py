@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tallyjoin.llm import language_id as li
 
 SYLLABLES = {"xa": "ba be bo ka ke ko", "xb": "str sch pfl ung eit", "xc": "oué ieu aux ère ç"}
@@ -53,6 +55,53 @@ def test_parts_of_long_texts_hold_the_same_grams(monkeypatch):
 
 
 def test_known_language_keeps_columns(spark):
-    d = docs(spark, [*corpus(60), (500, "..", "xa"), (501, None, "xa")])
+    """What has no letter goes, and what is written in a script that was never learnt."""
+    d = docs(spark, [*corpus(60), (500, "..", "xa"), (501, None, "xa"), (502, "Совсем другой язык и другие буквы", None)])
     kept = li.known_language(d)
-    assert kept.columns == d.columns and kept.count() == 60
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert {r.lang for r in li.known_language(d, ["xb"]).collect()} == {"xb"}
+
+
+def test_names_that_helpers_might_use(spark):
+    schema = "doc_id long, text string, lang string, _id long, _out long, _n string, `a``.b c` long"
+    d = spark.createDataFrame([(i, t, lang, i, i, "n", 7) for i, t, lang in corpus(60)], schema)
+    got = li.identify(d)
+    assert got.columns == [*d.columns, "held_out", "lang_pred", "score"] and all(r._id == r.doc_id and r[6] == 7 for r in got.collect())
+    assert li.known_language(d).columns == d.columns
+
+
+def plain_grams(t):
+    """The slots of a text's n-grams, one at a time."""
+    words = " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())
+    out = set()
+    for n in range(1, li.MAX_GRAM + 1):
+        for i in range(len(words) + 2 - n + 1):
+            h = 0
+            for c, f in zip(f" {words} "[i : i + n], li._FACTORS.tolist(), strict=False):
+                h = (h + ord(c)) * f % 2**32
+            out.add(((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 17)
+    return out
+
+
+def test_model_is_kernel_ridge_regression_on_landmarks():
+    """Scores from the kernel itself, pair by pair, with every text a landmark."""
+    rows = sorted((lang, t) for _, t, lang in corpus(40))
+    grams = [plain_grams(t) for _, t in rows]
+    x = np.zeros((len(rows), li.FEATURES), np.uint8)
+    for i, g in enumerate(grams):
+        x[i, sorted(g)] = 1
+    model = li.fit(x, [lang for lang, _ in rows])
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(a, b) for b in grams] for a in grams])
+    y = np.array([[1.0 if a == b else -1.0 for b in model.languages] for a, _ in rows])
+    alpha = np.linalg.solve(k @ k + li.RIDGE * k + 1e-6 * np.eye(len(k)), k @ y)
+    new = [text(random.Random(i), lang, 9) for i, lang in enumerate(("xa", "xb", "xc", "xa"))]
+    f = li.SHARPNESS * np.array([[kernel(plain_grams(t), g) for g in grams] for t in new]) @ alpha
+    share = np.exp(f) / np.exp(f).sum(1, keepdims=True)
+    pred, score = model.predict(new)
+    assert pred == [model.languages[i] for i in share.argmax(1)] and np.allclose(score, share.max(1), atol=1e-3)
+
+
+def test_ties_go_to_the_first_language():
+    model = li.Model(["xa", "xb"], np.ones((li.FEATURES, 2), np.float32))
+    assert model.predict(["abc", "", None]) == (["xa", "und", "und"], [0.5, 0.0, 0.0])

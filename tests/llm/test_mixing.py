@@ -95,3 +95,16 @@ def test_sample_gives_the_words_taken(spark):
 def test_little_or_nothing(spark, rows):
     out = mixing.mix(docs(spark, rows)).collect()
     assert len(out) == len(rows) and all(r.taken <= 2 * r.size for r in out)
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    """A row equal to another in all columns gives its parts as well; a very long text is cut like any other."""
+    long = "w " * 300_000
+    names = ("_id", "_src", "_parts", "_no", "_size", "_part", "_dsize", "_dno", "_row", "_row2", "a`.b")
+    rows = [(1, "one two three", "a"), (1, "one two three", "a"), (None, "x " * 40, "a"), (None, "x " * 40, "b"), (2, long, "b"), (3, None, "c")]
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n.replace('`', '``')}` long" for n in names))
+    got = mixing.sample(frame)
+    assert got.columns == frame.columns
+    out, taken = got.collect(), mixing.mix(frame).collect()
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for r in out)
+    assert sum(size(r.text) for r in out) == sum(r.taken for r in taken) and sum(size(r.text) for r in out if r.doc_id == 2) == sum(r.taken for r in taken if r.doc_id == 2) > 0
