@@ -53,23 +53,23 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """Per conversation: formatted, and segments, its pieces in order with the loss mask (whether a piece is learnt)."""
-    body = escape(F.col("text"))
-    pieces = F.array(
-        F.struct(F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(body.alias("text"), (F.col("role") == LEARNT).alias("loss")),
-        F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
-    )
-    per = messages.select("conv_id", "number", pieces.alias("_pieces")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("number", "_pieces"))).alias("_all"))
-    segments = F.flatten(F.transform("_all", lambda m: m["_pieces"]))
-    return per.select("conv_id", segments.alias("segments")).withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    """Per conversation: formatted, and loss, its mask: the ranges (start, end) of formatted, in code points, that are learnt."""
+    head, body = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")), escape(F.col("text"))
+    made = messages.select("conv_id", "number", (F.col("role") == LEARNT).alias("learnt"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"), F.concat(head, body, F.lit(END)).alias("piece"))
+    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("conv_id").orderBy("number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = before + F.col("head")
+    made = made.select("conv_id", "number", "piece", F.when(F.col("learnt"), F.struct(start.alias("start"), (start + F.col("body")).alias("end"))).alias("range"))
+    per = made.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("number", "piece", "range"))).alias("all"))
+    loss = F.filter(F.transform("all", lambda m: m["range"]), lambda r: r.isNotNull())
+    return per.select("conv_id", loss.alias("loss"), F.array_join(F.transform("all", lambda m: m["piece"]), "").alias("formatted"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """The turns and the learnt text that formatted holds, as digests, from the formatted text and its mask alone."""
     parts = F.split("formatted", r"<\|im_end\|>\n", -1)
     turns = F.transform(F.slice(parts, 1, F.size(parts) - 1), _turn)
-    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    under = lambda r: unescape(F.substr("formatted", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))
+    learnt = F.array_join(F.transform("loss", under), "")
     read = formatted.select("conv_id", turns.alias("_turns"), learnt.alias("_learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("_learnt").cast("long").alias("loss_chars"), F.sha2("_learnt", 256).alias("loss_sha256"), "formatted_chars")
@@ -83,7 +83,7 @@ def _turn(piece: Column) -> Column:
 
 
 def format_chats(events: DataFrame) -> DataFrame:
-    """conv_id, segments (text, loss) and formatted of every conversation of an event log."""
+    """conv_id, loss (the mask) and formatted of every conversation of an event log."""
     return render(fold(events))
 
 

@@ -10,7 +10,7 @@ then differ by 0 to 10 bits instead of 4 to 14. Candidates are verified by
 * their whole shingle sets.
 
 A pair is linked where all three hold. Texts of equal shingle sets are one node from the start, and pairs of nodes that are in
-one component already aren't verified again: a first round takes each node with the one before it in its buckets, two more
+one component already aren't verified again: a first round takes each node with the one before it in its buckets, the next
 with the nearest of another component there, which makes most of a group one component; the last takes all nodes of different
 components in each bucket. A bucket of more than BUCKET nodes is cut in blocks: those outside its largest component meet
 each other's blocks and each block of that component, whose blocks needn't meet each other.
@@ -261,17 +261,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = firsts.select("node", "n", "fp", *SKETCHES)
     masks = simhash.key_masks(nodes, DISTANCE, ROW_COST)
     hot = crowded(nodes, masks)
-    links = tried = None
+    links = tried = roots = None
     rooted = nodes.withColumn("root", F.col("node"))
-    for choose, seed in ((Rows.last, 1), (Rows.nearest, 2), (Rows.nearest, 3), (Rows.every, None)):
+    for choose, seed in ((Rows.last, 1), (Rows.nearest, 2), (Rows.every, None)):
         pairs = candidates(rooted.select("node", "root", "n", "fp", *SKETCHES), masks, hot, choose, seed)
         pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = similar(docs, firsts, pairs)
         links = common.materialize(found if links is None else links.unionByName(found), "links")
         roots = common.materialize(components(links), "roots")
         rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rows.select("doc_id", "text_hash", "row_hash", "node").join(roots, "node", "left").select("doc_id", "text_hash", "row_hash", F.coalesce("root", "node").alias("component"))
+    out = rows.select("doc_id", "text_hash", "row_hash", "node")
+    if roots is None:
+        return out.withColumnRenamed("node", "component")
+    return out.join(roots, "node", "left").select("doc_id", "text_hash", "row_hash", F.coalesce("root", "node").alias("component"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

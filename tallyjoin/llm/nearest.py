@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-* Index: TREES trees of hyperplanes between two random points each, split at the median, fitted on at most SAMPLE
-  vectors (the first in hash order of vec_id); every vector is routed through every tree. Vectors get one more component
-  that makes their norms equal, so that the largest inner product is the smallest angle.
+* Index: TREES trees of hyperplanes between two random points each, split at the median, fitted on one in SAMPLE_OF vectors,
+  SAMPLE[0] at least and SAMPLE[1] at most (the first in hash order); every vector is routed through every tree. Vectors get
+  one more component that makes their norms equal, so that the largest inner product is the smallest angle.
 * Search: one priority queue over the nodes of all trees; the leaf whose worst margin on the way is best comes next,
   until the leaves taken hold the budget of rows. The budget is measured: PROBES queries are answered exactly, in blocks,
   over all rows, and it is the number of rows at which RECALL of their true neighbours lie in leaves taken.
 * Rerank: the inner products with the leaves' rows in double precision, summed in order of the components.
 
-Equal vectors are one point with the k + 1 least of its ids, which is all that a result can show. A tree's leaves lie in
-shards of at most SHARD_ROWS rows; a leaf with more is cut by hash into pieces and searched in all of them.
+Equal vectors are one point with the least of its ids, as many as a result can show, and how often each occurs. A tree's
+leaves lie in shards of at most SHARD_ROWS rows; a leaf with more is cut by hash into pieces and searched in all of them.
+
+The budget grows much slower than the rows where vectors have near neighbours (see the README for figures); where they have
+none, as random directions in many dimensions do, it is a share of all rows, and no index of any kind does better.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; shorter vectors
-count as padded with zeros; rows with equal vec_id are candidates of their own, except for a query's own id; null
-vec_ids are candidates after all others, never queries; fewer candidates than k give all of them.
+count as padded with zeros; rows with equal vec_id are candidates of their own, except for a query's own id; a query id with
+several different vectors has a list for each of them, all under that id; null vec_ids are candidates after all others, never
+queries; fewer candidates than k give all of them.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyjoin.llm import common
 
 TREES = 4
-SAMPLE = 8192
+SAMPLE, SAMPLE_OF = (8192, 65_536), 16
 LEAF_ROWS = 128
 #: Least sampled vectors in a leaf, so that its median means something.
 LEAF_SAMPLE = 4
@@ -167,7 +171,7 @@ def plan(points: DataFrame, queries: DataFrame, k: int) -> tuple[Forest, list[np
     about = points.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm2")).first()
     if not about.n:
         return None
-    some = points.select("point", "embedding").orderBy(F.xxhash64("point"), "point").limit(SAMPLE).collect()  # bounded sample
+    some = points.select("point", "embedding").orderBy(F.xxhash64("point"), "point").limit(min(max(about.n // SAMPLE_OF, SAMPLE[0]), SAMPLE[1])).collect()  # bounded sample
     padded = np.zeros((len(some), about.dim), np.float32)
     for i, r in enumerate(some):
         padded[i, : len(r.embedding)] = r.embedding
@@ -175,7 +179,7 @@ def plan(points: DataFrame, queries: DataFrame, k: int) -> tuple[Forest, list[np
     x = forest.lifted(padded)
     least = max(LEAF_SAMPLE, LEAF_ROWS * len(some) // about.n)
     forest.trees = [grow(x, least, np.random.default_rng([SEED, t])) for t in range(TREES)]
-    routed = route(points, forest).groupBy("tree", "leaf").count().collect()  # TREES * SAMPLE / LEAF_SAMPLE rows at most
+    routed = route(points, forest).groupBy("tree", "leaf").count().collect()  # TREES * SAMPLE[1] / LEAF_SAMPLE rows at most
     sizes = [np.zeros(t.leaves, np.int64) for t in forest.trees]
     for r in routed:
         sizes[r["tree"]][r["leaf"]] = r["count"]
@@ -183,7 +187,7 @@ def plan(points: DataFrame, queries: DataFrame, k: int) -> tuple[Forest, list[np
     q = np.zeros((len(probes), about.dim), np.float32)
     for i, r in enumerate(probes):
         q[i, : len(r.embedding)] = r.embedding
-    true = exact(points, q, about.dim, k + 1)
+    true = exact(points, q, about.dim, k)
     wanted = points.join(F.broadcast(points.sparkSession.createDataFrame([(p,) for p in sorted(set().union(*true))], "_p long")), F.col("point") == F.col("_p"), "left_semi")
     leaf_of = {(r.tree, r.point): r.leaf for r in route(wanted, forest).collect()}  # PROBES * (k + 1) * TREES rows at most
     needs = []
@@ -195,7 +199,7 @@ def plan(points: DataFrame, queries: DataFrame, k: int) -> tuple[Forest, list[np
 
 def route(points: DataFrame, forest: Forest) -> DataFrame:
     """tree, leaf, point and embedding for every point and tree."""
-    share = points.sparkSession.sparkContext.broadcast(forest)  # TREES * SAMPLE / LEAF_SAMPLE planes at most
+    share = points.sparkSession.sparkContext.broadcast(forest)  # TREES * SAMPLE[1] / LEAF_SAMPLE planes at most
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         f = share.value
@@ -227,13 +231,13 @@ def layout(sizes: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray],
 
 
 def search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, point, score: the k + 1 nearest points found for each query point."""
+    """query, point, score: at least the k nearest points found for each query point."""
     planned = plan(points, queries, k)
     if planned is None:
         return points.sparkSession.createDataFrame([], "query long, point long, score double")
     forest, sizes, budget = planned
     firsts, pieces, shards = layout(sizes)
-    spark, dim, keep = points.sparkSession, forest.dim, k + 1
+    spark, dim, keep = points.sparkSession, forest.dim, k
     share = spark.sparkContext.broadcast((forest, sizes, firsts, pieces))
     schema = "shard int, kind int, leaf int, point long, embedding array<float>, leaves array<int>"
 
@@ -316,16 +320,18 @@ def search(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each vec_id divisible by every, its k nearest rows found."""
     base = common.materialize(valid(vectors).withColumn("point", F.xxhash64("embedding")), "vectors")
-    members = base.withColumn("_n", F.row_number().over(W.partitionBy("point").orderBy(F.col("vec_id").asc_nulls_last()))).filter(F.col("_n") <= k + 1)
+    asks = common.materialize(base.filter(F.col("vec_id") % every == 0).select("vec_id", "point").distinct(), "asks")
+    # A query's own id may be on so many points, and stand among the ids of any: so many more of both are kept.
+    own = asks.groupBy("vec_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    by_id = W.partitionBy("point").orderBy(F.col("vec_id").asc_nulls_last())
+    members = base.groupBy("point", "vec_id").agg(F.count("*").alias("copies")).withColumn("_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
     members = common.materialize(members, "members")
-    points = members.filter("_n = 1").select("point", "embedding")
-    asks = base.filter(F.col("vec_id") % every == 0).select("vec_id", "point").distinct()
-    queries = common.materialize(points.join(asks.select("point").distinct(), "point", "left_semi"), "queries")
-    found = search(points, queries, k).distinct()
-    least = members.filter("_n = 1").select("point", F.col("vec_id").alias("_least"))
-    top = found.join(least, "point").withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("_least").asc_nulls_last()))).filter(F.col("_r") <= k + 1)
+    points = common.materialize(base.groupBy("point").agg(F.min("vec_id").alias("_least"), F.first("embedding").alias("embedding")), "points")
+    queries = common.materialize(points.join(asks.select("point").distinct(), "point", "left_semi").select("point", "embedding"), "queries")
+    found = search(points.select("point", "embedding"), queries, k + own).distinct()
+    top = found.join(points.select("point", "_least"), "point").withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("_least").asc_nulls_last()))).filter(F.col("_r") <= k + own)
     top = common.materialize(top.select("query", "point", "score"), "top")
-    rows = asks.select(F.col("vec_id").alias("query_id"), F.col("point").alias("query")).join(top, "query").join(members.select("point", "vec_id"), "point")
-    rows = rows.filter(~F.col("vec_id").eqNullSafe(F.col("query_id")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
+    rows = asks.select(F.col("vec_id").alias("query_id"), F.col("point").alias("query")).join(top, "query").join(members.select("point", "vec_id", "copies"), "point")
+    rows = rows.filter(~F.col("vec_id").eqNullSafe(F.col("query_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k)))))
+    rank = F.row_number().over(W.partitionBy("query_id", "query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyjoin.llm import chat, decontamination, language_id, mixing, nearest, page_text, personal_data, secret_scan, simhash, token_files
 from tallyjoin.llm.common import table
@@ -41,7 +42,8 @@ def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turn = lambda i, role: F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+    probe = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.read_back(chat.format_chats(chat.events_of(turns)))
 

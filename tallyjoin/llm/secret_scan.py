@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +39,7 @@ ALLOW = tuple(
     for p in (
         r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
         r"([A-Z]?[a-z]+|[A-Z]+|[0-9]+)([_/+=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]+))*",
-        r"([A-Z][a-z]+|[a-z]+){1,6}[0-9]{0,4}",
+        r"(?:[a-z]+|[A-Z][a-z]+)(?:[A-Z][a-z]+){0,5}[0-9]{0,4}",
         r"(?![0-9A-Fa-f]+\Z)(([a-z]{5,}[0-9]{1,4})+([a-z]{5,})?|([A-Z]{5,}[0-9]{1,4})+([A-Z]{5,})?)",
         r"(.{1,4})\1{4,}.{0,3}",
         r"[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]{0,6}Z?",
@@ -52,7 +52,7 @@ def dense_windows(text: str, width: int, least: float, needs: tuple) -> Iterator
 
     Counts, the sum of c*log2(c) and the needs are kept up as the window moves, so a step takes constant time.
     """
-    plogp = [0.0, *(c * math.log2(c) for c in range(1, width + 1))]
+    plogp = [0.0, *(c * math.log2(c) for c in range(1, width + 2))]  # the new character is counted before the old one goes
     counts: dict[str, int] = {}
     have = [0] * len(needs)
     total, span = 0.0, None
@@ -82,7 +82,7 @@ def dense_windows(text: str, width: int, least: float, needs: tuple) -> Iterator
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) of every span, by start, then kind. Entropy spans never overlap base ones."""
+    """(start, kind's number, end) of every span, by start, then kind. Entropy spans hold something that base ones don't."""
     base = []
     if ":" in text or "=" in text:
         base += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -102,10 +102,22 @@ def scan(text: str) -> list[tuple[int, int, int]]:
             else:
                 added.append((a, 3, b))
     if added and base:
-        added = [x for x in added if all(x[2] <= a or b <= x[0] for a, _, b in base)]
+        held = merged((a, b) for a, _, b in base)
+        added = [x for x in added if not any(a <= x[0] and x[2] <= b for a, b in held)]
     return sorted(base + added)
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans' union, as disjoint spans in order; those that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_entropy", pa.int64())])
 
@@ -127,10 +139,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mask(text: str, fill: str = "[SECRET]") -> str:
-    """text with every span replaced, overlapping ones together."""
+    """text with every span replaced, overlapping and touching ones together."""
     out, at = [], 0
-    for a, _, b in scan(text):
-        if a >= at:
-            out += (text[at:a], fill)
-        at = max(at, b)
+    for a, b in merged((a, b) for a, _, b in scan(text)):
+        out += (text[at:a], fill)
+        at = b
     return "".join([*out, text[at:]])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
-from tallyjoin.llm.components import components
+from tallyjoin.llm.components import components, labelled
 from tallyjoin.names import col, free, own
 
 # Fixed values of the fingerprint: words in a shingle, the hash's seed, its bits.
@@ -199,14 +199,8 @@ def forest(group: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
         return fps[:0], fps[:0]
     u, v = np.concatenate(us), np.concatenate(vs)
     label = np.arange(len(fps))
-    while True:
-        low = np.minimum(label[u], label[v])
-        old = label.copy()
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (label == old).all():
-            break
+    found = labelled(u, v)
+    label[: len(found)] = found
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 

@@ -1,11 +1,11 @@
 """Token-ID output: documents in doc_id order become one long run of ids, cut into equal-length sequences.
 
 Format: for each part, ``*.tokens.arrow`` is an Arrow IPC file, uncompressed, whose batches hold ``ids``
-(fixed-size list of uint16, or uint32 for large vocabularies) and ``mask`` (fixed-size list of bool, false on the
+(fixed-size list of uint16, or uint32 for large vocabularies) and ``mask`` (fixed-size list of uint8: 1, or 0 on the
 padding at the part's end). Equal lengths and plain buffers let a reader map the file and reach sequence i without
 copying or scanning. ``*.docs.arrow`` has doc_id, start and n_tokens, the place of each document in the part.
 ``manifest`` (Parquet, written by Spark) names the parts that count: files of lost or repeated task attempts have other
-names and are not in it.
+names and are not in it. sequences() numbers the sequences of all parts.
 
 Defined results: null text is empty and yields only the end id; empty tables give no parts and no rows; rows with equal
 doc_id are all kept, ordered by their text's hash, a null doc_id comes first; other columns are ignored.
@@ -28,6 +28,7 @@ import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyjoin.llm import common
@@ -54,7 +55,7 @@ def _byte_letters() -> dict[int, str]:
 
 BYTE_LETTERS = _byte_letters()
 
-MANIFEST = "part int, tokens string, docs string, n_docs long, n_tokens long"
+MANIFEST = "part int, tokens string, docs string, n_docs long, n_tokens long, n_sequences long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -182,7 +183,7 @@ class PartWriter:
         self.fs.create_dir(at.rpartition("/")[0], recursive=True)
         self.length, self.dtype, self.at = length, dtype, 0
         self.kind = pa.from_numpy_dtype(dtype.newbyteorder("="))
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.tokens = ipc.new_file(self.fs.open_output_stream(at + ".tokens.arrow"), self.schema)
         self.docs = ipc.new_file(self.fs.open_output_stream(at + ".docs.arrow"), DOCS)
         self.held, self.size, self.n_docs = [], 0, 0
@@ -207,7 +208,7 @@ class PartWriter:
             part = flat[i : min(i + self.length * BATCH_SEQUENCES, whole)]
             pad = -len(part) % self.length
             ids = np.concatenate([part, np.zeros(pad, self.dtype)])
-            mask = np.arange(len(ids)) < len(part)
+            mask = (np.arange(len(ids)) < len(part)).astype(np.uint8)
             self.tokens.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids, self.kind), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
         self.held, self.size = [rest.tobytes()], len(rest)
 
@@ -236,12 +237,18 @@ def _open(uri: str) -> ipc.RecordBatchFileReader:
 
 
 def read_sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence i of a tokens file; on a local file the ids are a view of the mapped file."""
+    """Ids and mask of sequence i of a tokens file; on a local file both are views of the mapped file."""
     reader = _open(uri)
     per = BATCH_SEQUENCES
     batch = reader.get_batch(i // per)
     ids, mask = batch.column("ids"), batch.column("mask")
-    return ids[i % per].values.to_numpy(zero_copy_only=True), mask[i % per].values.to_numpy(zero_copy_only=False)
+    return ids[i % per].values.to_numpy(zero_copy_only=True), mask[i % per].values.to_numpy(zero_copy_only=True)
+
+
+def sequences(manifest: DataFrame) -> DataFrame:
+    """The manifest with first, the number, from 0 over all parts, of each part's first sequence. One row a part."""
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return manifest.withColumn("first", F.coalesce(F.sum("n_sequences").over(before), F.lit(0)))
 
 
 def read_documents(tokens: str, docs: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
@@ -281,7 +288,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, length: int = SEQUEN
             writer.add(batch.column("doc_id"), enc.encode(batch.column("text")), end)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "tokens": [f"{base}.tokens.arrow"], "docs": [f"{base}.docs.arrow"], "n_docs": [writer.n_docs], "n_tokens": [writer.at]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "tokens": [f"{base}.tokens.arrow"], "docs": [f"{base}.docs.arrow"], "n_docs": [writer.n_docs], "n_tokens": [writer.at], "n_sequences": [-(-writer.at // length)]})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     dealt = keyed.repartitionByRange(common.partitions_for(docs), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")

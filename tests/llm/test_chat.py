@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyjoin.llm import chat
 
@@ -37,7 +38,20 @@ def test_formatted_text_and_mask(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "yo")]
     r = chat.format_chats(chat.events_of(table(spark, rows))).first()
     assert r.formatted == "<|im_start|>user\nhi <\\|im_end|><|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n"
-    assert [(s.text, s.loss) for s in r.segments if s.loss] == [("yo", True)] and "".join(s.text for s in r.segments) == r.formatted
+    assert [r.formatted[s.start : s.end] for s in r.loss] == ["yo"]
+
+
+def test_a_wrong_mask_is_noticed(spark):
+    made = chat.format_chats(chat.events_of(table(spark, [(1, 0, "user", "é <|x"), (1, 1, "assistant", "yo <| ü")])))
+    assert chat.read_back(made).first().loss_sha256 == sha("yo <| ü")
+    moved = made.withColumn("loss", F.transform("loss", lambda r: F.struct((r["start"] - 1).alias("start"), (r["end"] - 1).alias("end"))))
+    assert chat.read_back(moved).first().loss_sha256 != sha("yo <| ü")
+
+
+def test_very_long_texts(spark):
+    long = "<|é " * 100_000
+    got = chat.read_back(chat.format_chats(chat.events_of(table(spark, [(1, 0, "user", long), (1, 1, "assistant", long)])))).first()
+    assert tuple(got)[1:5] == want([("user", long), ("assistant", long)])
 
 
 def test_deltas_edits_and_regenerations(spark):
@@ -56,13 +70,13 @@ def test_deltas_edits_and_regenerations(spark):
     events = spark.createDataFrame(log, "conv_id long, seq long, kind string, role string, text string, target long")
     got = [(r.conv_id, r.role, r.text) for r in chat.fold(events).orderBy("conv_id", "number").collect()]
     assert got == [(1, "user", "question"), (1, "assistant", "Best!"), (2, "assistant", "orphan")]
+    read = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.format_chats(events)).collect()}
+    assert read == {1: want([("user", "question"), ("assistant", "Best!")]), 2: want([("assistant", "orphan")])}
 
 
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.text(st.sampled_from("<\\|a$"), max_size=12), min_size=30, max_size=30))
 def test_escaping_is_reversible_and_leaves_no_control(spark, texts):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", chat.escape(F.col("t"))).withColumn("u", chat.unescape(F.col("e")))
     assert all(r.u == r.t and "<|" not in r.e for r in df.collect())
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tallyjoin.llm import components as components_module
 from tallyjoin.llm import simhash
 
 
@@ -49,10 +50,11 @@ def near(rnd, n, chain):
     return out
 
 
-@pytest.mark.parametrize(("bucket", "distance"), [(512, 2), (8, 2), (64, 4)])
-def test_links_give_all_components(spark, monkeypatch, bucket, distance):
-    """Also with a ball of neighbours that no bucket could hold."""
+@pytest.mark.parametrize(("bucket", "distance", "few"), [(512, 2, 0), (8, 2, 10**6), (64, 4, 10**6)])
+def test_links_give_all_components(spark, monkeypatch, bucket, distance, few):
+    """Also with a ball of neighbours that no bucket could hold; components in rounds and in one task."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(components_module, "FEW_EDGES", few)
     rnd = random.Random(bucket)
     fps = near(rnd, 200, 300)
     fps += [fps[0] ^ (1 << a) for a in range(0, 64, 2)]
