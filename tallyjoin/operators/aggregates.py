@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyjoin.names import col, free, own
+
 
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count("*").alias(name))
@@ -55,8 +57,10 @@ def dedup_last_of_run(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     group of its own. Order columns must be comparable; they and the keys need not be all columns.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    last = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last"))
-    return last.select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns))
+    last = free("_last", df)
+    made = df.groupBy(*map(col, keys)).agg(F.max(F.struct(*(col(c).alias(f"c{i}") for i, c in enumerate([*order, *rest])))).alias(last))
+    at = {c: F.col(last)[f"c{i}"] for i, c in enumerate([*order, *rest])}
+    return made.select(*(at[c].alias(c) if c in at else col(c) for c in df.columns))
 
 
 def group_count_broadcast(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -64,9 +68,10 @@ def group_count_broadcast(df: DataFrame, keys: Sequence[str], name: str) -> Data
 
     A window over the keys would hold a hot key in one task; here AQE can split it.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias(name)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), name)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return df.join(counts, same).select(*df.columns, name)
+    theirs = [free(f"_key{i}", df, [name]) for i in range(len(keys))]
+    counts = df.groupBy(*(col(k).alias(c) for k, c in zip(keys, theirs, strict=True))).agg(F.count("*").alias(name))
+    same = [col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, theirs, strict=True)]
+    return df.join(counts, same).select(*own(df), name)
 
 
 def group_count_window(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyjoin import storage
 from tallyjoin.functions import bounds
 from tallyjoin.operators import aggregates, columns, expand, joins, packing, padding, partitioning, scan
 from tallyjoin.sources import tables
@@ -46,6 +48,15 @@ def scan_table(spark, d):
     return tables.scan_table(spark, f"{d}/region.parquet").select("r_regionkey", "r_name")
 
 
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_custkey * 7 - 3 AS x FROM customer")
+def scan_text(spark, d):
+    """A table written as text under header lines, in several files, and read back."""
+    made = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"), (F.col("c_custkey") * 7 - 3).alias("x"))
+    path = storage.new_path(spark, "text")
+    tables.write_text(made.repartition(3), path)
+    return tables.scan_text(spark, path, made.schema, strict=True)
+
+
 @query("SELECT i AS c0, i + 1 AS c1, i + 2 AS c2 FROM range(1000) t(i)")
 def generate_data(spark, d):
     return tables.generate_data(spark, 3, 1000)
@@ -173,8 +184,8 @@ def inner_join_m2m_events(spark, d):
     "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT a.src, b.dst, count(*) AS paths FROM e a JOIN e b ON a.dst = b.src GROUP BY a.src, b.dst"
 )
 def two_hop_paths(spark, d):
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return joins.two_hop(e, "src", "dst")
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return joins.two_hop(e, "src", "dst", distinct=True)
 
 
 @query(
@@ -194,6 +205,26 @@ def join_max_degree(spark, d):
     return joins.join_max_degree(orders(spark, d), orders(spark, d), ["o_custkey"])
 
 
+_BLOCKS = """WITH r AS (SELECT c_custkey, c_nationkey FROM customer), s AS (SELECT s_suppkey, s_nationkey AS c_nationkey FROM supplier),
+    j AS (SELECT c_nationkey, c_custkey, s_suppkey, row_number() OVER (ORDER BY c_nationkey, c_custkey, s_suppkey) - 1 AS place, count(*) OVER () AS m FROM r JOIN s USING (c_nationkey))
+    SELECT c_nationkey, c_custkey, s_suppkey, m, CAST(place // b AS BIGINT) AS block, CAST(place % b AS BIGINT) AS "offset" FROM (SELECT *, greatest(CAST(ceil(m / 8.0) AS BIGINT), 1) AS b FROM j)"""
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"))
+
+
+@query(_BLOCKS)
+def join_blocks(spark, d):
+    """Customers with the suppliers of their nation: few keys, each with many rows on both sides."""
+    return joins.join_blocks(*_sides(spark, d), ["c_nationkey"], ["c_custkey"], ["s_suppkey"], 8)
+
+
+@query(_BLOCKS)
+def positional_join(spark, d):
+    return joins.positional_join(*_sides(spark, d), ["c_nationkey"], ["c_custkey"], ["s_suppkey"], 8)
+
+
 @query(
     """WITH o AS (SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS deg FROM orders),
     x AS (SELECT o_custkey, o_orderkey, deg, CAST(unnest(range(1, deg + 1)) AS BIGINT) AS copy FROM o),
@@ -206,7 +237,7 @@ def join_alignment(spark, d):
     """The self-join of orders on the customer: every copy of an S row gets the place of its partner among R's copies."""
     o = orders(spark, d).select("o_custkey", "o_orderkey")
     x = expand.expansion(aggregates.group_count_broadcast(o, ["o_custkey"], "deg").withColumn("d", F.col("deg")), "d")
-    n = scan.row_number_by_key(partitioning.numbered(x, ["o_custkey", "o_orderkey", "copy"], "g"), ["o_custkey"], ["o_orderkey", "copy"], "i")
+    n = scan.row_number_by_key(scan.numbered(x, ["o_custkey", "o_orderkey", "copy"], "g"), ["o_custkey"], ["o_orderkey", "copy"], "i")
     starts = n.groupBy("o_custkey").agg(F.min("g").alias("j"))
     aligned = joins.join_alignment(n.join(starts, "o_custkey"), "i", "j", "deg", "deg", 1000)
     return aligned.select("o_custkey", "o_orderkey", "copy", F.col("i").cast("bigint").alias("i"), "j", "l", "T", "P")
@@ -281,10 +312,15 @@ def row_number_by_key(spark, d):
     return scan.row_number_by_key(orders(spark, d).select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
 
 
-def _fill(name: str, backward: bool) -> None:
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_number FROM orders")
+def row_number_by_key_split(spark, d):
+    return scan.row_number_by_key_split(orders(spark, d).select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
+
+
+def _fill(name: str, backward: bool, split: bool = False) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("x"))
-        return scan.fill(e, ["user_id"], ["event_id"], "x", "filled", backward)
+        return (scan.fill_split if split else scan.fill)(e, ["user_id"], ["event_id"], "x", "filled", backward)
 
     run.__name__ = name
     made = "first_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)" if backward else "last_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
@@ -293,6 +329,8 @@ def _fill(name: str, backward: bool) -> None:
 
 _fill("forward_fill", False)
 _fill("backward_fill", True)
+_fill("forward_fill_split", False, split=True)
+_fill("backward_fill_split", True, split=True)
 
 
 # Sorting and placing
@@ -321,6 +359,29 @@ def range_partition(spark, d):
     return partitioning.by_pivots(o, "o_custkey", [100, 500, 1000])
 
 
+@query("SELECT count(*) AS n, 4 AS parts, TRUE AS apart FROM orders")
+def range_placement(spark, d):
+    """Where the rows really are after range_partition(): no two partitions' ranges of keys overlap."""
+    at = partitioning.placement(partitioning.range_partition(orders(spark, d), 4, "o_custkey"), "o_custkey")
+    after = F.lead("low").over(Window.orderBy("low"))  # one row a partition
+    return at.withColumn("next", after).agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("parts"), F.every(F.col("next").isNull() | (F.col("high") < F.col("next"))).alias("apart"))
+
+
+@query("SELECT count(*) AS n, 8 AS parts, TRUE AS even FROM orders")
+def random_placement(spark, d):
+    """Where the rows really are after shuffle_random(): no partition has over 1.3 times its share."""
+    at = partitioning.placement(partitioning.shuffle_random(orders(spark, d), 8), "o_orderkey")
+    return at.agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("parts"), (F.max("n") <= 1.3 * F.sum("n") / 8).alias("even"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS keys, TRUE AS together FROM orders")
+def key_placement(spark, d):
+    """Where the rows really are after shuffle_by_key(): no key is in two partitions."""
+    at = partitioning.shuffle_by_key(orders(spark, d), 8, "o_custkey").withColumn("part", F.spark_partition_id())
+    per = at.groupBy("o_custkey").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    return per.agg(F.count("*").alias("keys"), F.every(F.col("a") == F.col("b")).alias("together"))
+
+
 _SAME = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 
 
@@ -397,6 +458,38 @@ def padding_bounds(spark, d):
     return n.select("n", F.explode(F.array(F.lit(4), F.lit(16), F.lit(64))).alias("p")).withColumn("bound", bounds.size_bound_column(F.col("n"), F.col("p")))
 
 
+@query(
+    """SELECT total, p, sample, n, CAST(least(n, ceil(u * (1 + (c + sqrt(c * c + 8 * c)) / 2) * n / p)) AS BIGINT) AS bound
+    FROM (SELECT *, (40 * ln(2) + 1 + 2 * ln(p)) * u * p / n AS c FROM (SELECT *, 1 + (b + sqrt(b * b + 4 * b)) / 2 AS u FROM (
+        SELECT *, 2 * (40 * ln(2) + 1 + ln(total)) * p / sample AS b FROM (SELECT count(*) AS total, CAST(count(*) // 3 AS BIGINT) AS sample, CAST(count(*) // 2 AS BIGINT) AS n FROM orders), (SELECT unnest([4, 16, 64]) AS p))))"""
+)
+def sort_bounds(spark, d):
+    n = F.count("*")
+    of = table(spark, d, "orders").agg(n.alias("total"), F.floor(n / 3).cast("long").alias("sample"), F.floor(n / 2).cast("long").alias("n"))
+    of = of.select("total", F.explode(F.array(F.lit(4), F.lit(16), F.lit(64))).alias("p"), "sample", "n")
+    return of.withColumn("bound", bounds.sort_size_bound_column(*map(F.col, ("total", "p", "sample", "n"))))
+
+
+@query(
+    """WITH d AS (SELECT count(*) AS n1, (SELECT count(*) FROM customer) AS n2, (SELECT max(c) FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey)) AS degree1, CAST(1 AS BIGINT) AS degree2 FROM orders),
+    b AS (SELECT *, (n1 + n2) // (degree1 + degree2) AS fewest, (n1 + n2) // CAST(ceil((degree1 + degree2) / 2.0) AS BIGINT) AS bins FROM d, (SELECT unnest([2, 4, 8]) AS p)),
+    x AS (SELECT *, (40 * ln(2) + 2 * ln(p)) * p * p / fewest AS b FROM b)
+    SELECT n1, n2, degree1, degree2, p, CAST(least(n1 + n2, ceil((1 + (b + sqrt(b * b + 8 * b)) / 2) * bins * (degree1 + degree2) / p / p)) AS BIGINT) AS bound FROM x"""
+)
+def bin_bounds(spark, d):
+    n1 = joins.degrees(orders(spark, d), ["o_custkey"], "c").agg(F.sum("c").alias("n1"), F.max("c").alias("degree1"))
+    n2 = table(spark, d, "customer").agg(F.count("*").alias("n2"), F.lit(1).cast("long").alias("degree2"))
+    of = n1.crossJoin(n2).select("n1", "n2", "degree1", "degree2", F.explode(F.array(F.lit(2), F.lit(4), F.lit(8))).alias("p"))  # one row each
+    return of.withColumn("bound", bounds.bin_size_bound_column(*map(F.col, ("n1", "n2", "degree1", "degree2", "p")), F.col("n1") + F.col("n2")))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def real_rows(spark, d):
+    """Rows that are no dummies, after padding."""
+    o = orders(spark, d).select("o_orderkey", (F.col("o_orderkey") % 4).alias("part"))
+    return padding.real_rows(padding.pad_to_size(o, "part", 20_000))
+
+
 @query(
     """WITH RECURSIVE d AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY c_nationkey) AS r FROM customer GROUP BY c_nationkey),
     b AS (SELECT c_nationkey, n, r, CAST(0 AS BIGINT) AS bin, n AS held FROM d WHERE r = 1

@@ -34,6 +34,11 @@ def scan_text(spark: SparkSession, path: str, schema: T.StructType, parts: int =
     return cells.select(*(F.get("c", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)))
 
 
+def write_text(df: DataFrame, path: str) -> None:
+    """df as whitespace-separated text, a header line in each file: what scan_text() reads. Values must hold no white space."""
+    df.write.csv(path, sep=" ", header=True, quote="", nullValue="", emptyValue="")
+
+
 def generate_data(spark: SparkSession, columns: int, rows: int) -> DataFrame:
     """Cell (i, j) is i + j; columns c0, c1, ..."""
     return spark.range(rows).select(*((F.col("id") + j).alias(f"c{j}") for j in range(columns)))

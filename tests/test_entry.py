@@ -48,7 +48,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name in ("corpus_pipeline", "tallyjoin.llm") or name.startswith("tallyjoin.llm."):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 q = e.queries()

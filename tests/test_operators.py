@@ -119,6 +119,48 @@ def test_prefix_by_key_and_fills(spark):
     assert read(scan.by_key(big, ["a"], ["b"], "sum", "c", "x"))[-1] == 3 * (2**31 - 1)
 
 
+def test_splits_of_keys_over_many_parts(spark):
+    rnd = random.Random(5)
+    rows = [(None if i % 40 == 3 else rnd.choice([1, 1, 1, 2]), i, rnd.choice([None, None, None, 4, 5]), 0) for i in range(300)]
+    df = frame(spark, rows).repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        for backward in (False, True):
+            assert multiset(scan.fill_split(df, ["a"], ["b"], "c", "x", backward)) == multiset(scan.fill(df, ["a"], ["b"], "c", "x", backward))
+        assert multiset(scan.row_number_by_key_split(df, ["a"], ["b"], "x")) == multiset(scan.row_number_by_key(df, ["a"], ["b"], "x"))
+        assert [r.x for r in scan.numbered(df, ["b"], "x").orderBy("b").collect()] == list(range(1, 301))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_helpers_never_meet_columns_of_their_names(spark):
+    """Columns named like helpers come back as they were, and nothing stays cached."""
+    names = ["_part", "_local", "_one", "_n", "_end", "_place", "_total", "_carry", "_at", "_key0", "_chunk", "_last", "_size", "_before", "_every"]
+    df = spark.range(20).select(F.col("id").alias("k"), (F.col("id") % 3).alias("c"), *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    whole = [F.col(n) == i for i, n in enumerate(names)]
+    for out, n in (
+        (scan.prefix_sum_global(df, ["k"], "c", "x"), 20),
+        (scan.by_key_split(df, ["c"], ["k"], "sum", "k", "x"), 20),
+        (scan.fill_split(df, ["c"], ["k"], "k", "x"), 20),
+        (partitioning.assign_round_robin(df, ["k"], 3), 20),
+        (partitioning.quantile_buckets(df, ["k"], 3), 20),
+        (partitioning.rank_in_order(df, ["k"]), 20),
+        (expand.expansion(df, "c", keep_count=True), 19),
+        (expand.expansion_blocks(df, ["k"], "c", 4), 19),
+        (aggregates.group_count_broadcast(df, ["c"], "x"), 20),
+        (aggregates.dedup_last_of_run(df, ["c"], ["k"]), 3),
+        (padding.remove_dummy(padding.pad_to_size(df, "c", 10)), 20),
+    ):
+        assert set(df.columns) <= set(out.columns) and out.filter(sum((w.cast("int") for w in whole), F.lit(0)) == len(names)).count() == n
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_names_with_dots_and_backticks(spark):
+    df = spark.range(6).select(F.col("id").alias("a.b"), (F.col("id") % 2).alias("c`d"))
+    assert [r[2] for r in scan.prefix_sum_global(df, ["a.b"], "c`d", "x").collect()] == [0, 1, 1, 2, 2, 3]
+    assert expand.expansion(df, "c`d").columns == ["a.b", "copy"] and aggregates.group_count_broadcast(df, ["c`d"], "x").count() == 6
+
+
 @pytest.mark.parametrize("how", ["sum", "min", "max", "count", "product"])
 @pytest.mark.parametrize("reverse", [False, True])
 def test_a_key_over_many_parts_has_the_prefix_of_a_window(spark, how, reverse):
@@ -223,6 +265,42 @@ def test_quantiles_and_round_robin(spark, n):
     assert [r.part for r in partitioning.assign_round_robin(df, ["k"], 4).orderBy("k").collect()] == [i % 4 for i in range(n)]
 
 
+def test_bernoulli_sample(spark):
+    df = spark.range(20_000)
+    a, b = ({r.id for r in columns.sample(df, 0.3, seed).collect()} for seed in (1, 1))
+    assert a == b and abs(len(a) - 6000) < 500 and a != {r.id for r in columns.sample(df, 0.3, 2).collect()}
+
+
+# Joins in blocks
+
+
+@pytest.mark.parametrize("make", [joins.join_blocks, joins.positional_join])
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_joins_in_key_ordered_blocks(spark, make, blocks):
+    rnd = random.Random(2)
+    r = [(rnd.choice([1, 1, 1, 2, 3, 4, None]), i, 10 + i) for i in range(40)]
+    s = [(rnd.choice([1, 2, 2, 3, 5, None]), i, 100 + i) for i in range(30)]
+    want = sorted((k, a, b, x, y) for k, a, x in r for j, b, y in s if k == j and k is not None)
+    size = max(1, -(-len(want) // blocks))
+    got = make(frame(spark, r, "k a x").repartition(3), frame(spark, s, "k b y"), ["k"], ["a"], ["b"], blocks)
+    assert got.columns == ["k", "a", "x", "b", "y", "m", "block", "offset"]
+    rows = sorted(got.collect(), key=lambda t: (t.block, t.offset))
+    assert [(t.k, t.a, t.b, t.x, t.y) for t in rows] == want and {t.m for t in rows} == {len(want)}
+    assert [(t.block, t.offset) for t in rows] == [divmod(i, size) for i in range(len(want))]
+
+
+@pytest.mark.parametrize("make", [joins.join_blocks, joins.positional_join])
+def test_joins_in_blocks_of_nothing(spark, make):
+    assert make(frame(spark, [(1, 1)], "k a"), frame(spark, [(2, 1)], "k b"), ["k"], ["a"], ["b"], 4).collect() == []
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_long_expansions_are_made_in_chunks(spark, spread):
+    df = frame(spark, [(1, 200_000), (2, 0), (3, None), (4, 65_536), (5, 1), (6, -3)], "k n")
+    got = expand.expansion(df, "n", spread=spread).groupBy("k").agg(F.count("*"), F.min("copy"), F.max("copy"), F.count_distinct("copy")).collect()
+    assert sorted(map(tuple, got)) == [(k, n, 1, n, n) for k, n in ((1, 200_000), (4, 65_536), (5, 1))]
+
+
 # Padding
 
 
@@ -242,6 +320,11 @@ def test_bounds():
     assert bounds.bin_size_bound(10**5, 10**5, 3, 5, 4, 10**9) > 2 * 10**5 / 16 and bounds.bin_size_bound(10**5, 10**5, 3, 5, 4, 99) == 99
 
 
+def test_bounds_of_nothing():
+    assert bounds.size_bound(0, 4) == bounds.sort_size_bound(0, 4, 0, 0) == bounds.bin_size_bound(0, 0, 0, 0, 4, 9) == 0
+    assert bounds.bin_size_bound(2, 3, 4, 5, 4, 99) == 5 and bounds.bin_size_bound(2, 3, 4, 5, 4, 3) == 3
+
+
 # Streams and metrics
 
 
