@@ -179,7 +179,8 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             c = rnd.choice(":-")
             s = c.join(f"{rnd.randrange(256):02x}" for _ in range(6)) if good else "-".join(num(2) for _ in range(6))
         telling = rnd.random()
-        lead = rnd.choice(FOR if good and telling < 0.7 else AGAINST if not good and telling < 0.7 else ("the", "and", word()))
+        decoy = kind == "local_phone" and not good and s.count("-") == 2 and len(s) == 11  # an id, not a phone, in any context
+        lead = rnd.choice(FOR if decoy or good and telling < 0.7 else AGAINST if not good and telling < 0.7 else ("the", "and", word()))
         need = kind in ("local_phone", "national_id", "card") and good and lead not in FOR
         text = f"{word()} {lead}{rnd.choice((' ', ': ', ' is '))}{s}{rnd.choice((' ', '. ', ', ', ''))}{word() if rnd.random() < 0.6 else ''}"
         for k, a, b in base_spans(text) if kind in BASE else candidates(text):
