@@ -30,15 +30,21 @@ def corpus(spark, tmp_path_factory):
     return rows, item, where
 
 
-def test_stages_against_brute_force(spark, corpus):
-    rows, item, where = corpus
-    docs = spark.read.parquet(f"{where}/documents.parquet")
-    kept = {}
+@pytest.fixture(scope="module")
+def kept(spark, corpus):
+    """The rows that each stage but the last keeps."""
+    where = corpus[2]
+    docs, out = spark.read.parquet(f"{where}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
         docs = corpus_pipeline.materialize(stage(spark, docs, where), name)
         assert docs.columns == before.columns
-        kept[name] = docs.collect()
+        out[name] = docs.collect()
+    return out
+
+
+def test_stages_against_brute_force(corpus, kept):
+    rows, item, _ = corpus
     told = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     assert sorted((r.doc_id, r.text) for r in kept["language"]) == sorted((r[0], r[1]) for r in told)
     groups = defaultdict(list)
@@ -58,14 +64,11 @@ def test_stages_against_brute_force(spark, corpus):
     assert all(abs(taken[s] - t) <= 16 for s, t in water(sizes).items())
 
 
-def test_run_gives_the_tokens_of_the_mix(spark, corpus):
-    _, _, where = corpus
-    docs = spark.read.parquet(f"{where}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, where), name)
+def test_run_gives_the_tokens_of_the_mix(spark, corpus, kept):
+    where = corpus[2]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = []
-    for r in docs.collect():
+    for r in kept["mix"]:
         ids = [*tok.encode(r.text, add_special_tokens=False).ids, 0]
         want.append((r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     out = corpus_pipeline.run(spark, where).collect()
