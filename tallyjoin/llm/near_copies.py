@@ -5,14 +5,14 @@ fingerprint here is of a text's set of words, as few edits touch few words but f
 then differ by 0 to 10 bits instead of 4 to 14. Candidates are verified by
 
 * their numbers of shingles, which a similarity of 4/5 bounds;
-* a second SimHash, of SKETCH bits of the shingles themselves: texts at the similarity differ by 39 of 256 bits, give or
-  take 6, and pairs of more than SKETCH_BITS go (FEW_BITS where a text has fewer than FEW shingles, so that ties weigh more);
+* a second SimHash, of SKETCH bits of the shingles themselves: texts at the similarity differ by 78 of 512 bits, give or
+  take 8, and pairs of more than SKETCH_BITS go (FEW_BITS where a text has fewer than FEW shingles, so that ties weigh more);
 * their whole shingle sets.
 
 A pair is linked where all three hold. Texts of equal shingle sets are one node from the start, and pairs of nodes that are in
-one component already aren't verified again: a first round takes each node with the one before it in its buckets, the next
-with the nearest of another component there, which makes most of a group one component; the last takes all nodes of different
-components in each bucket. A bucket of more than BUCKET nodes is cut in blocks: those outside its largest component meet
+one component already aren't verified again: a first round takes each node with the nearest one in its buckets, which makes
+most of a group one component; the second takes all nodes of different components, each pair in the first bucket that holds
+both. A bucket of more than BUCKET nodes is cut in blocks: those outside its largest component meet
 each other's blocks and each block of that component, whose blocks needn't meet each other.
 
 Words are SimHash's. A text of fewer words than SHINGLE has one shingle, all its words; one without words an empty one.
@@ -36,10 +36,10 @@ SHINGLE = 5
 #: Bits that fingerprints of similar texts may differ by.
 DISTANCE = 10
 #: Bits of the second SimHash, and how many of them may differ.
-SKETCH, SKETCH_BITS = 256, 56
-FEW, FEW_BITS = 32, 80
+SKETCH, SKETCH_BITS = 512, 94
+FEW, FEW_BITS = 32, 150
 #: What a key row costs against a candidate, as it carries the second SimHash.
-ROW_COST = 300.0
+ROW_COST = 3000.0
 #: Nodes that one task compares all with all, and most texts to be compared whose ids are broadcast.
 BUCKET = 1 << 14
 BROADCAST_ROWS = 200_000
@@ -125,10 +125,20 @@ def runs(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[tuple[np.ndarr
 class Rows:
     """What is compared of the nodes in some buckets."""
 
-    def __init__(self, node: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, *sketches: np.ndarray):
-        self.node, self.root, self.n, self.fp = node, root, n.astype(np.int64), fp.view(np.uint64)
+    def __init__(self, mask: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, *sketches: np.ndarray):
+        self.mask, self.node, self.root, self.n, self.fp = mask, node, root, n.astype(np.int64), fp.view(np.uint64)
         self.sketches = [s.view(np.uint64) for s in sketches]
 
+    def first(self, a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the row numbers (a, b) those whose mask is the first of masks under which the fingerprints agree."""
+        differ = self.fp[a] ^ self.fp[b]
+        before, ok = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        for m in masks:
+            agree = differ & m.view(np.uint64) == 0
+            ok |= (self.mask[a] == m) & ~before
+            before |= agree
+        return a[ok], b[ok]
+
     def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bits of the second SimHash that rows a and b differ by."""
         return sum((np.bitwise_count(s[a] ^ s[b]).astype(np.int64) for s in self.sketches), np.zeros(len(a), np.int64))
@@ -145,16 +155,6 @@ class Rows:
             a, b = a[ok], b[ok]
         return a, b
 
-    def last(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each row with the last one before it in its run that has another root."""
-        begins = np.zeros(len(self.node), np.int64)
-        begins[starts] = starts
-        begins = np.maximum.accumulate(begins)
-        turn = np.r_[False, self.root[1:] != self.root[:-1]]
-        last = np.maximum.accumulate(np.where(turn, np.arange(-1, len(self.node) - 1), -1))
-        a = np.flatnonzero(last >= begins)
-        yield self.close(a, last[a])
-
     def every(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All rows of different roots in each run, so many pairs at once as are made by BLOCK rows and a run."""
         sizes = np.diff(np.r_[starts, len(self.node)])
@@ -199,7 +199,7 @@ def crowded(nodes: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, masks: list[int], hot: DataFrame, choose: Callable, seed: int | None = None) -> DataFrame:
-    """Distinct (u, v) of different components that may be similar, as choose takes them: Rows.last, nearest or every.
+    """Distinct (u, v) of different components that may be similar, as choose takes them: Rows.nearest or every.
 
     nodes: node, root, n, fp and the second SimHash. seed: nodes meet only in their blocks, which are dealt by that seed.
     """
@@ -221,10 +221,14 @@ def candidates(nodes: DataFrame, masks: list[int], hot: DataFrame, choose: Calla
         pieces = F.explode(F.when(F.col("blocks").isNull(), one).otherwise(split))
     rows = rows.withColumn("piece", pieces).select("mask", "key", F.col("piece.a").alias("a"), F.col("piece.b").alias("b"), "node", "root", "n", "fp", *SKETCHES)
 
+    order = np.array([simhash.signed(m) for m in masks], np.int64)
+
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, cols in runs(batches, 4):
-            of = Rows(*cols[4:])
+            of = Rows(cols[0], *cols[4:])
             for a, b in choose(of, starts):
+                if seed is None:
+                    a, b = of.first(a, b, order)
                 if len(a):
                     found = np.unique(np.stack([np.minimum(of.node[a], of.node[b]), np.maximum(of.node[a], of.node[b])]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["u", "v"])
@@ -237,7 +241,7 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose similarity is 4/5 or more, by their whole sets. nodes: node, _id and _idt of a row of each."""
     import xxhash
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
     asked = common.materialize(nodes.join(asked, "node", "left_semi").select("_id", "_idt"), "asked")
     texts = simhash.identified(docs).select("doc_id", "text_hash", "text")
     side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
@@ -263,7 +267,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     hot = crowded(nodes, masks)
     links = tried = roots = None
     rooted = nodes.withColumn("root", F.col("node"))
-    for choose, seed in ((Rows.last, 1), (Rows.nearest, 2), (Rows.every, None)):
+    for choose, seed in ((Rows.nearest, 1), (Rows.every, None)):
         pairs = candidates(rooted.select("node", "root", "n", "fp", *SKETCHES), masks, hot, choose, seed)
         pairs = common.materialize(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
