@@ -15,9 +15,11 @@ of them do. Pages of equal streams count as one page, or copies would delete eac
   that a few pages share is a copy or a quotation and stays, and so does all of an article of which frequent runs cover
   more than half, as that is a copy of other pages.
 
-Hosts of up to SHARD_CHARS of html are done in one task each. Larger ones are dealt out in shards by hash of the stream; what
-the shards' arrays hold is joined by run hash. A run that stands once in a shard is counted only if it is outside articles, as a
-frequent one stands more often there.
+Hosts of up to SHARD_CHARS of html are done in one task each. Larger ones are dealt out in shards by hash of the stream, and
+what the shards' arrays hold is joined by run hash, with the same decisions. A shard tells the runs that two of its pages hold,
+and of the others those that pages without an article hold as well, which is all that the array decides there. So a run's sum
+lacks at most one page for each shard that doesn't tell it; runs that those might make frequent are counted once more, in every
+page. Where a run could be frequent with one page in each shard, the shards tell all runs.
 
 Defined results: null html is empty and gives empty text; null url is a host of its own; repeated rows are pages of
 their own; other columns are ignored; markup cut off by the end of the page is dropped, text is kept; a quote that isn't
@@ -29,7 +31,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -375,25 +377,25 @@ def small(df: DataFrame, weight: str = "1") -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(F.expr(weight))).first()[0] or 0) <= BROADCAST_ROWS else df
 
 
+def wanted_runs(of_host: DataFrame, runs_of: Callable[[DataFrame], DataFrame]) -> dict[str, np.ndarray]:
+    """The runs of pages without an article, by host; only of the hosts with the fewest such tokens, BROADCAST_ROWS in all."""
+    hosts, room = [], BROADCAST_ROWS
+    for r in of_host.filter("loose > 0").select("loose", "host").orderBy("loose", "host").limit(BROADCAST_ROWS).collect():
+        room -= r.loose
+        if room < 0:
+            break
+        hosts.append((r.host,))
+    if not hosts:
+        return {}
+    out: dict[str, list[int]] = {h: [] for h, in hosts}
+    for r in runs_of(of_host.sparkSession.createDataFrame(hosts, "host string")).select("host", "run").distinct().collect():
+        out[r.host].append(r.run)
+    return {h: np.array(x, np.int64) for h, x in out.items()}
+
+
 def by_shards(pages: DataFrame, shards: DataFrame) -> DataFrame:
     """The texts of hosts that are dealt out in shards."""
     rows = common.materialize(parsed(pages), "parsed")
-    streams = rows.select("host", "sid", "blocks", "zones").dropDuplicates(["host", "sid"]).join(shards, "host")
-    dealt = streams.withColumn("shard", F.pmod("sid", "shards")).repartition("host", "shard").sortWithinPartitions("host", "shard", "sid")
-    run = pa.schema([("host", pa.string()), ("run", pa.int64()), ("n", pa.int64())])
-
-    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in groups(batches, ("host", "shard")):
-            arrays = Arrays([stream_of(r["blocks"]) for r in held])
-            outside = np.concatenate([np.repeat([z < 2 or best_zone(r["zones"]) == 1 for z in r["zones"]] + [True], [*(len(b.split()) + 1 for b in r["blocks"]), 1]) for r in held])
-            n = arrays.pages()
-            kept = (n > 1) | outside[arrays.order[arrays.starts]]
-            yield common.batch_of(run, [[held[0]["host"]] * int(kept.sum()), pa.array(arrays.hashes()[kept]), pa.array(n[kept])])
-
-    of_host = rows.groupBy("host").agg(F.count_distinct("sid").alias("of"))
-    found = dealt.mapInArrow(runs, "host string, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n")).filter("n > 1")
-    often = F.col("n") >= F.greatest(F.lit(float(OFTEN_PAGES)), F.col("of") * OFTEN_SHARE)
-    repeated = common.materialize(found.join(of_host, "host").select("host", "run", often.alias("often")), "runs")
     mine = pa.schema([("host", pa.string()), ("sid", pa.int64()), ("run", pa.int64())])
 
     def own(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -407,10 +409,44 @@ def by_shards(pages: DataFrame, shards: DataFrame) -> DataFrame:
         words = np.fromiter(map(xxhash.xxh64_intdigest, stream_of(blocks)), np.uint64)
         return run_hashes(words, np.arange(max(0, len(words) - RUN + 1)))
 
+    def runs_of(pages: DataFrame) -> DataFrame:
+        return common.map_batches(pages.select("host", "sid", "blocks"), own, "host string, sid long, run long")
+
+    tokens = F.expr("if(guarded, 0L, aggregate(blocks, 0L, (n, b) -> n + size(split(b, ' ')) + 1))")
+    of_host = common.materialize(rows.groupBy("host").agg(F.count_distinct("sid").alias("of"), F.sum(tokens).alias("loose")).join(shards, "host"), "of_host")
+    least = F.greatest(F.lit(float(OFTEN_PAGES)), F.col("of") * OFTEN_SHARE)
+    loose = wanted_runs(of_host, lambda hosts: runs_of(rows.filter("NOT guarded").join(F.broadcast(hosts), "host", "left_semi")))
+    share_loose = rows.sparkSession.sparkContext.broadcast(loose)
+    streams = rows.select("host", "sid", "blocks").dropDuplicates(["host", "sid"]).join(of_host.withColumn("dense", F.col("shards") >= least).drop("of"), "host")
+    dealt = streams.withColumn("shard", F.pmod("sid", "shards")).repartition("host", "shard").sortWithinPartitions("host", "shard", "sid")
+    run = pa.schema([("host", pa.string()), ("run", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_())])
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups(batches, ("host", "shard")):
+            host, wanted = held[0]["host"], share_loose.value.get(held[0]["host"])
+            whole = held[0]["dense"] or (held[0]["loose"] > 0 and wanted is None)
+            arrays = Arrays([stream_of(r["blocks"]) for r in held])
+            n, hashes = arrays.pages(), arrays.hashes()
+            kept = (n > 1) | whole
+            if wanted is not None:
+                kept |= np.isin(hashes, wanted)
+            k = int(kept.sum())
+            yield common.batch_of(run, [[host] * k, pa.array(hashes[kept]), pa.array(n[kept]), [whole] * k])
+
+    told = dealt.mapInArrow(runs, "host string, run long, n long, whole boolean").groupBy("host", "run").agg(F.sum("n").alias("n"), F.count("*").alias("told"), F.max("whole").alias("whole"))
+    unsure = (F.col("n") < least) & (F.col("n") + F.col("shards") - F.col("told") >= least) & ~F.col("whole")
+    needed = (F.col("n") >= least) | unsure | ((F.col("n") > 1) & (F.col("loose") > 0))
+    found = common.materialize(told.join(of_host, "host").filter(needed).select("host", "run", "n", "of", "loose", unsure.alias("unsure")), "found")
+    again = found.filter("unsure").select("host", "run")
+    if not again.isEmpty():
+        counted = runs_of(rows.join(small(again.select("host").distinct()), "host", "left_semi")).join(small(again), ["host", "run"]).distinct()
+        found = found.join(counted.groupBy("host", "run").agg(F.count("*").alias("counted")), ["host", "run"], "left").withColumn("n", F.coalesce("counted", "n"))
+    often = F.col("n") >= least
+    repeated = common.materialize(found.filter(often | ((F.col("n") > 1) & (F.col("loose") > 0))).select("host", "run", often.alias("often")), "runs")
+
     def held(guarded: bool) -> DataFrame:
         """The runs that matter for such pages: frequent ones where there is an article, else all that are repeated."""
-        of_page = common.map_batches(rows.filter(F.col("guarded") == guarded).select("host", "sid", "blocks"), own, "host string, sid long, run long")
-        return of_page.join(small(repeated.filter("often") if guarded else repeated), ["host", "run"]).distinct()
+        return runs_of(rows.filter(F.col("guarded") == guarded)).join(small(repeated.filter("often") if guarded else repeated), ["host", "run"]).distinct()
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [text_of(r["blocks"], r["zones"], r["runs"] or [], [x for x, o in zip(r["runs"] or [], r["often"] or [], strict=True) if o]) for r in batch.to_pylist()]

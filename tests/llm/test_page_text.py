@@ -102,6 +102,28 @@ def test_texts_against_every_run_of_every_page(spark, monkeypatch, chars, few):
     assert not any(MENU in t for t in want[62:122]) and MENU in want[-1]
 
 
+def thin_site(rnd):
+    """Two hosts whose runs stand about once in a shard: appeals in about half of the articles, or in five of nine, and pages
+    without an article that quote a single one."""
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    rows = []
+    for host, n, least, most in (("half.org", 40, 15, 29), ("few.org", 9, 3, 7)):
+        appeals = [(say(12), set(rnd.sample(range(n), rnd.randrange(least, most)))) for _ in range(24)]
+        own = [say(400) for _ in range(n)]
+        rows += [(f"http://{host}/{i}", f"<article><p>{own[i]}</p>" + "".join(f"<p>{a}</p>" for a, on in appeals if i in on) + "</article>") for i in range(n)]
+        rows += [(f"http://{host}/list{i}", f"<div>{say(9)} {own[i][:90]} {say(9)}</div>") for i in range(6)]
+    return rows
+
+
+@pytest.mark.parametrize(("chars", "few"), [(30_000, 200_000), (9000, 200_000), (9000, 800), (3000, 0)])
+def test_texts_dont_depend_on_the_shards(spark, monkeypatch, chars, few):
+    monkeypatch.setattr(pt, "SHARD_CHARS", chars)
+    monkeypatch.setattr(pt, "BROADCAST_ROWS", few)
+    rows = thin_site(random.Random(3))
+    got = {r.page_id: r.text for r in pt.extract(frame(spark, [(i, *r) for i, r in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows)
+
+
 @pytest.mark.parametrize("chars", [4 << 20, 200])
 def test_boilerplate_repeated_on_a_host_goes(spark, monkeypatch, chars):
     """Also where each page is in a shard of its own."""
