@@ -2,8 +2,9 @@
 
 Format: for each part, ``*.tokens.arrow`` is an Arrow IPC file, uncompressed, whose batches hold ``ids``
 (fixed-size list of uint16, or uint32 for large vocabularies) and ``mask`` (fixed-size list of uint8: 1, or 0 on the
-padding at the part's end). Equal lengths and plain buffers let a reader map the file and reach sequence i without
-copying or scanning. ``*.docs.arrow`` has doc_id, start and n_tokens, the place of each document in the part.
+padding at the part's end; run-end encoded, as all masks of a part but the last are equal). All batches but the last hold
+BATCH_SEQUENCES. Equal lengths and plain buffers let a reader map the file and reach sequence i without copying or
+scanning. ``*.docs.arrow`` has doc_id, start and n_tokens, the place of each document in the part.
 ``manifest`` (Parquet, written by Spark) names the parts that count: files of lost or repeated task attempts have other
 names and are not in it. sequences() numbers the sequences of all parts.
 
@@ -183,7 +184,7 @@ class PartWriter:
         self.fs.create_dir(at.rpartition("/")[0], recursive=True)
         self.length, self.dtype, self.at = length, dtype, 0
         self.kind = pa.from_numpy_dtype(dtype.newbyteorder("="))
-        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, length)), ("mask", pa.run_end_encoded(pa.int32(), pa.list_(pa.uint8(), length)))])
         self.tokens = ipc.new_file(self.fs.open_output_stream(at + ".tokens.arrow"), self.schema)
         self.docs = ipc.new_file(self.fs.open_output_stream(at + ".docs.arrow"), DOCS)
         self.held, self.size, self.n_docs = [], 0, 0
@@ -197,10 +198,10 @@ class PartWriter:
             self.held += (x, end)
         self.at, self.n_docs, self.size = self.at + int(n.sum()), self.n_docs + len(ids), self.size + int(n.sum())
         if self.size >= self.length * BATCH_SEQUENCES:
-            self._flush(self.length)
+            self._flush(self.length * BATCH_SEQUENCES)
 
     def _flush(self, multiple: int) -> None:
-        """Writes whole sequences; with multiple 1 also the padded rest."""
+        """Writes whole batches, in which a sequence is found by its number; with multiple 1 also the padded rest."""
         flat = np.frombuffer(b"".join(self.held), self.dtype)
         whole = len(flat) // multiple * multiple
         rest = flat[whole:]
@@ -208,10 +209,16 @@ class PartWriter:
             part = flat[i : min(i + self.length * BATCH_SEQUENCES, whole)]
             pad = -len(part) % self.length
             ids = np.concatenate([part, np.zeros(pad, self.dtype)])
-            mask = (np.arange(len(ids)) < len(part)).astype(np.uint8)
-            self.tokens.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids, self.kind), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
+            self.tokens.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids, self.kind), self.length), self._masks(len(part))], schema=self.schema))
         self.held, self.size = [rest.tobytes()], len(rest)
 
+    def _masks(self, n: int) -> pa.RunEndEncodedArray:
+        """The masks of the sequences of n tokens: those of full ones as one run, then that of a padded one."""
+        full, rest = divmod(n, self.length)
+        runs = [(full, self.length)] * (full > 0) + [(full + 1, rest)] * (rest > 0)
+        masks = np.array([np.arange(self.length) < k for _, k in runs], np.uint8).ravel()
+        return pa.RunEndEncodedArray.from_arrays(pa.array([end for end, _ in runs], pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(masks), self.length))
+
     def close(self) -> None:
         self._flush(1)
         for x in self.sinks:
@@ -242,7 +249,8 @@ def read_sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     per = BATCH_SEQUENCES
     batch = reader.get_batch(i // per)
     ids, mask = batch.column("ids"), batch.column("mask")
-    return ids[i % per].values.to_numpy(zero_copy_only=True), mask[i % per].values.to_numpy(zero_copy_only=True)
+    run = int(np.searchsorted(mask.run_ends.to_numpy(), i % per, "right"))
+    return ids[i % per].values.to_numpy(zero_copy_only=True), mask.values[run].values.to_numpy(zero_copy_only=True)
 
 
 def sequences(manifest: DataFrame) -> DataFrame:

@@ -64,6 +64,22 @@ def test_sequences_are_equal_long_masked_and_not_copied(spark, tmp_path):
         assert mask.sum() == p.n_tokens - p.n_tokens // 32 * 32 or mask.all()
 
 
+def test_masks_take_no_byte_a_token(tmp_path):
+    """Every mask is read back as bytes, not copied, but the equal ones are written once a batch."""
+    length, n = 64, 64 * (2 * tf.BATCH_SEQUENCES + 3) + 7
+    writer = tf.PartWriter(f"file://{tmp_path}/p", ENCODER.dtype, length)
+    for i, size in enumerate([n // 2, n - n // 2 - 2]):
+        writer.add(pa.array([i]), [np.full(size, 5, ENCODER.dtype).tobytes()], np.array([0], ENCODER.dtype).tobytes())
+    writer.close()
+    path = tmp_path / "p.tokens.arrow"
+    n_sequences = -(-n // length)
+    for i in [0, 1, tf.BATCH_SEQUENCES - 1, tf.BATCH_SEQUENCES, n_sequences - 2, n_sequences - 1]:
+        ids, mask = tf.read_sequence(f"file://{path}", i)
+        assert mask.tolist() == [1] * min(length, n - i * length) + [0] * max(0, (i + 1) * length - n)
+        assert mask.dtype == np.uint8 and not mask.flags.owndata and len(ids) == length
+    assert path.stat().st_size < 2.2 * n
+
+
 def test_empty_table(spark):
     assert tf.token_output(docs(spark, []), PATH).collect() == []
 
