@@ -294,6 +294,45 @@ def test_joins_in_blocks_of_nothing(spark, make):
     assert make(frame(spark, [(1, 1)], "k a"), frame(spark, [(2, 1)], "k b"), ["k"], ["a"], ["b"], 4).collect() == []
 
 
+def shuffled_rows(df):
+    """Rows that the shuffles of df's last plan wrote, the most of one shuffle, after running it."""
+    df.collect()
+    most, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        if node.metrics().contains("shuffleRecordsWritten"):
+            most = max(most, node.metrics().apply("shuffleRecordsWritten").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_two_hop_in_many_ranges_and_lists(spark, monkeypatch, distinct):
+    monkeypatch.setattr(joins, "TASK_PATHS", 16, raising=False)
+    monkeypatch.setattr(joins, "ENDS", 4, raising=False)
+    rnd = random.Random(3)
+    e = [(rnd.choice([0, 1, 2, 3, 4, None]), rnd.choice([0, 1, 2, 7, None])) for _ in range(60)] + [(1, i) for i in range(30)] + [(i, 1) for i in range(30, 50)]
+    e = list(set(e)) if distinct else e
+    want = Counter((a, d) for a, b in e for c, d in e if b == c and b is not None)
+    got = joins.two_hop(frame(spark, e * 2 if distinct else e, "src dst"), "src", "dst", distinct=distinct).collect()
+    assert {(t.src, t.dst): t.paths for t in got} == want and len(got) == len(want)
+
+
+def test_two_hop_shuffles_no_paths(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for second edges that are not small
+    try:
+        got = joins.two_hop(frame(spark, [(i, 1000) for i in range(200)] + [(1000, 2000 + i) for i in range(200)], "src dst"), "src", "dst")
+        assert got.count() == 40_000 and shuffled_rows(got) <= 1_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 @pytest.mark.parametrize("spread", [False, True])
 def test_long_expansions_are_made_in_chunks(spark, spread):
     df = frame(spark, [(1, 200_000), (2, 0), (3, None), (4, 65_536), (5, 1), (6, -3)], "k n")
