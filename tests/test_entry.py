@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from tallyjoin.plans import registry
+from tests.test_operators import shuffled_rows
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
@@ -32,6 +33,16 @@ def test_query_gives_what_its_sql_gives(spark, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_join_alignment_of_null_customers_sorts_no_copies(spark, tmp_path):
+    rows = [(i, None if i % 9 == 0 else i % 3, "O") for i in range(120)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").repartition(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = registry.QUERIES["join_alignment"](spark, str(tmp_path))
+    assert set(map(tuple, got.collect())) == set(con.sql(registry.ORACLE_SQL["join_alignment"]).fetchall())
+    assert got.count() > 3_000 and shuffled_rows(got) <= 200
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
