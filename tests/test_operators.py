@@ -311,6 +311,23 @@ def shuffled_rows(df):
     return most
 
 
+@pytest.mark.parametrize("make", [joins.join_blocks, joins.positional_join])
+def test_joins_in_blocks_of_large_keys_in_tiles(spark, make, monkeypatch):
+    monkeypatch.setattr(joins, "TILE", 4)
+    r = [(i % 3, i) for i in range(40)] + [(7, 40), (8, 41), (None, 42)]
+    s = [(i % 2, i) for i in range(21)] + [(7, 21), (None, 22)]
+    want = sorted((k, a, b) for k, a in r for j, b in s if k == j and k is not None)
+    size = -(-len(want) // 5)
+    got = make(frame(spark, r, "k a"), frame(spark, s, "k b"), ["k"], ["a"], ["b"], 5).collect()
+    assert sorted((t.block, t.offset, t.k, t.a, t.b) for t in got) == [(*divmod(i, size), *w) for i, w in enumerate(want)]
+
+
+def test_positional_join_shuffles_no_copies(spark):
+    r, s = (frame(spark, [(1, i) for i in range(300)], f"k {c}").repartition(3) for c in "ab")
+    got = joins.positional_join(r, s, ["k"], ["a"], ["b"], 8)
+    assert got.count() == 90_000 and shuffled_rows(got) <= 1_000
+
+
 @pytest.mark.parametrize("distinct", [False, True])
 def test_two_hop_in_many_ranges_and_lists(spark, monkeypatch, distinct):
     monkeypatch.setattr(joins, "TASK_PATHS", 16, raising=False)
