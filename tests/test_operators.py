@@ -328,6 +328,15 @@ def test_positional_join_shuffles_no_copies(spark):
     assert got.count() == 90_000 and shuffled_rows(got) <= 1_000
 
 
+def test_join_blocks_deals_a_large_key_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TILE", 32, raising=False)
+    monkeypatch.setattr(joins, "TASK_ROWS", 1 << 13, raising=False)
+    r, s = (frame(spark, [(1, i) for i in range(300)], f"k {c}") for c in "ab")
+    got = joins.join_blocks(r, s, ["k"], ["a"], ["b"], 8)
+    at = Counter(t._p for t in parts_of(got))
+    assert sum(at.values()) == 90_000 and max(at.values()) <= 45_000 and shuffled_rows(got) <= 10_000
+
+
 @pytest.mark.parametrize("distinct", [False, True])
 def test_two_hop_in_many_ranges_and_lists(spark, monkeypatch, distinct):
     monkeypatch.setattr(joins, "TASK_PATHS", 16, raising=False)
